@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import terms
-from quern.session import table
+from quern.llm import mixing, packing, terms, tokens
+from quern.session import cut, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,48 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.distinctive_terms(table(spark, sf_dir, "postings")).withColumn("score", F.round("score", 9))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = table(spark, sf_dir, "containers").select("container_kind", "capacity_tokens").distinct().collect()
+    return packing.pack(sizes, [(r["container_kind"], r["capacity_tokens"]) for r in kinds])
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.usage(_packed(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = tokens.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    # Counted once: the sizes decide the rates, and the rates the repeats.
+    return mixing.repeats(cut(sized), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicated(_repeated(spark, sf_dir))
+
+
+def p8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated(spark, sf_dir)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_repeated(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
+    "p7_containers": p7_containers,
+    "p7_usage": p7_usage,
+    "p8_mixture": p8_mixture,
+    "p8_repeats": p8_repeats,
+    "p8_shares": p8_shares,
 }
 
 _CLEAN = """
