@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, packing, terms, tokens
+from quern.llm import handwritten, mixing, packing, terms, tokens
 from quern.session import cut, table
 
 
+#: What the code base calls itself: its own copyright lines are no third party's.
+OWN_NAMES = ("tarnfield",)
+
+
+def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The ignore patterns are a project's settings, a few lines in order.
+    patterns = [r["pattern"] for r in table(spark, sf_dir, "ignore_patterns").orderBy("pos").collect() if r["pattern"]]
+    return handwritten.not_handwritten(table(spark, sf_dir, "source_files"), patterns, OWN_NAMES)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_files(spark, sf_dir).select("path")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_terms(spark, sf_dir).where("mark IS NOT NULL").select("token_scope", "token")
 
@@ -60,6 +74,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_files": p1_files,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p3_found": p3_found,
