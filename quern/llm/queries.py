@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import handwritten, mixing, packing, terms, tokens
+from quern.llm import handwritten, mixing, packing, pii, terms, tokens
 from quern.session import cut, table
 
 
@@ -73,6 +73,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_repeated(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "given_names"))
+    return found.select("doc_id", "pii_kind", "pii_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "given_names"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_files": p1_files,
@@ -85,6 +94,8 @@ QUERIES = {
     "p8_mixture": p8_mixture,
     "p8_repeats": p8_repeats,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 _CLEAN = """
