@@ -245,6 +245,7 @@ def _addresses(text: str):
                         f"nextdot={text[end : end + 1] == '.'}{core_end == end}",
                         f"code={bool(re.search(r'[0-9]{5}', last))}",
                         f"several={bool(taken) and taken[-1].endswith('+')}",
+                        f"several={bool(taken) and taken[-1].endswith('+')},{re.match(r'$|[  ](?=[^A-ZÀ-Þ])|[  ](?=[A-ZÀ-Þ])|.|', text[end : end + 2], re.S).group(0)!r},{text[end + 1 : end + 2].islower()}",
                         f"lastword={fold(re.split(r'[^\w]+', last)[-1])}" if taken else "core",
                         f"townstart={fold((re.findall(r'[^\W\d_]+', last) or [''])[0])}",
                     ]
@@ -444,7 +445,7 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset
 
 
 @functools.lru_cache(maxsize=2)
-def trained(given: frozenset[str], examples: int = 6000, seed: int = 5) -> dict[str, float]:
+def trained(given: frozenset[str], examples: int = 9000, seed: int = 5) -> dict[str, float]:
     """Weights fitted on `examples` composed sentences; once per process."""
     from quern.llm.pii_training import compose
 

@@ -25,7 +25,7 @@ STEMS_B = "a e i o u an er il on ev av uth ick ell orn ast end ing".split()
 ENDINGS = "wick wood well son sen ova ov ski ska quist ström holm mann berg stein feld oglu ado ez ette ard ish anby worth ley ton ford vich enko witz asz rigg krigg ello mere holt ensen strom elli ini ier eau aux ic ó".split()
 TOWN_A = "Ash Cold Nieder Ober Larch Mont Puerto Quarrow Tann Val Villa Fenwick Bruns Harl Red Stone Alt Neu Sant Grand".split()
 TOWN_B = "brook combe hollow stead ford ham münde walde rieden burg heim aubray clos morin ville court llosa nera olmedo bury field port".split()
-NOUNS = "anchor archive basket buffer bundle cache cart channel clock counter cursor digest driver entry filter frame gateway glyph graph handle header index inbox ledger lexer mailbox marker module packet palette parser policy probe queue reader record role route sample scene schema segment session shard signal socket stage stream table tenant token trace tree vector view wallet window worker".split()
+NOUNS = "grant grant mark anchor archive basket buffer bundle cache cart channel clock counter cursor digest driver entry filter frame gateway glyph graph handle header index inbox ledger lexer mailbox marker module packet palette parser policy probe queue reader record role route sample scene schema segment session shard signal socket stage stream table tenant token trace tree vector view wallet window worker".split()
 VERBS = "batch clamp collect decode drain emit encode fetch flush fold index link load mark merge notify parse probe prune rank render resolve route scan seal settle sort split stage trim walk".split()
 ADJECTIVES = "active bare clean cold dense dirty eager final flat full idle inner lazy local lower nested outer partial raw remote safe shared slow sparse stale upper warm".split()
 ROLES = "noreply no-reply do-not-reply ci-bot lint-bot build-bot helpdesk support oncall-list core-team all-devs security postmaster releases nightly admin info ops dev-team alerts team.index notifications".split()
@@ -144,7 +144,7 @@ class Composer:
 
     def town(self) -> str:
         town = self.pick(TOWN_A) + self.pick(TOWN_B)
-        if self.r.random() < 0.06:
+        if self.r.random() < 0.03:
             return self.pick(["San ", "Santa ", "New ", "Saint ", "Bad ", "La ", "Port ", "Great "]) + town
         return town
 
@@ -229,7 +229,7 @@ class Composer:
                 f"Ticket TKT-{self.digits(4)}-{self.digits(3)} is closed.",
                 f"Hash {self.digits(16)} does not match.",
                 f"Hash {self.digits(8)} and size {self.digits(9)} do not match.",
-                f'param name="{w} {self.pick(NOUNS)}" phone_type=none',
+                f'param name="{self.pick([w, "grant", "rose", "clara"])} {self.pick(NOUNS)}" phone_type=none',
                 f"Order {self.digits(9)} of batch {self.digits(11)} was {self.pick(VERBS)}ed.",
                 f"Row {n} holds {self.digits(3)} {self.digits(3)} {self.digits(3)} bytes.",
                 f"version {self.digits(2)}.{self.digits(3)}.{self.digits(3)} of {w}",
@@ -276,7 +276,7 @@ class Composer:
             return [(before, None), (number, "id_number"), (after, None)]
         before, after = self.pick(
             {
-                "en": [("Return the board to ", "."), ("The test box ships to ", "."), ("deliver_to: ", ""), ('addr = "', '"'), ("The fixture still has my home address, ", ", in it."), ("The meeting is at ", ", second floor."), ("Address: ", "")],
+                "en": [("Return the board to ", "."), ("The test box ships to ", "."), ("deliver_to: ", ""), ('addr = "', '"'), ("The fixture still has my home address, ", ", in it."), ("The meeting is at ", ", second floor."), ("Address: ", ""), ("ship_to: ", ""), ("deliver_to: ", "")],
                 "de": [("Anschrift: ", ""), ("Bitte zurück an ", "."), ("Das Testgerät steht in der ", "."), ("Adresse: ", "")],
                 "fr": [("Adresse : ", ""), ("Le boîtier est à renvoyer au ", ".")],
                 "es": [("Dirección: ", ""), ("El equipo se envía a ", ".")],
