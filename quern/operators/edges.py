@@ -42,6 +42,7 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFra
     joins only the frontier and drops what was seen, so cycles end by
     themselves.
     """
+    edges = edges.where("src IS NOT NULL AND target IS NOT NULL")
     steps = {
         "before": edges.select(F.col("src").alias("a"), F.col("target").alias("b")).distinct(),
         "after": edges.select(F.col("target").alias("a"), F.col("src").alias("b")).distinct(),
