@@ -141,7 +141,7 @@ def save_postings(postings: DataFrame, path: str, files: int = 16) -> None:
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """(text) of every .md file below a folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return raw.withColumnRenamed("value", "text")
 
 
