@@ -296,7 +296,8 @@ def not_handwritten(files: DataFrame, patterns: list[str], own_names: tuple[str,
     of a half or more, and nothing to less. Third-party copies without a
     banner are known by the names of libraries that banners elsewhere give
     (most identifiers start with one), by a body equal to that of a file with
-    a banner, or by the same body in several top folders. Those tables are
+    a banner, or by identifiers that start with a name which only files copied
+    to several top folders carry. Those tables are
     joined, never collected. Repeated rows count once; a path whose contents
     differ is a case when one of them is. Empty files and empty tables give no
     rows.
@@ -314,12 +315,16 @@ def not_handwritten(files: DataFrame, patterns: list[str], own_names: tuple[str,
     )
     bodies = bodies.where("with_banner = 1 OR in_many")
     rows = skew_join(skew_join(facts, libraries, "prefix"), bodies, "body")
+    carries = (F.col("prefix_count") >= 2) & (F.col("prefix_share") >= 0.4)
+    # A name that only ever leads files found in several top folders is a library's.
+    copied = rows.where(carries).groupBy("prefix").agg(F.min(F.coalesce("in_many", F.lit(False))).alias("only_copies"))
+    rows = skew_join(rows, copied.where("only_copies"), "prefix")
 
     path = F.col("path")
     third = F.greatest(
         F.col("banner"),
-        F.when(F.col("is_library") & (F.col("prefix_count") >= 2) & (F.col("prefix_share") >= 0.4), 1.0).otherwise(0.0),
-        F.when(F.col("with_banner") == 1, 1.0).when(F.col("in_many"), 1.0).otherwise(0.0),
+        F.when(carries & F.col("is_library"), 1.0).otherwise(0.0),
+        F.when(F.col("with_banner") == 1, 1.0).when(F.col("in_many") & carries & F.col("only_copies"), 1.0).otherwise(0.0),
     )
     lock = path.rlike("(?i)" + LOCKFILES)
     listed = ignored(path, patterns)
