@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import ascii_lower, normal_language
 from quern.functions.tokens import alias_groups, content_tokens, link_tokens, name_tokens, stem, trigrams
+from quern.session import cut
 
 #: Scores of the kinds of match, and their order where scores are equal (fixed values).
 MATCH_RANK = {"exact": 0, "prefix": 1, "substring": 2, "stem": 3, "fuzzy": 4, "annotation": 5}
@@ -120,15 +121,27 @@ def alias_table(spark) -> DataFrame:
     return spark.createDataFrame(alias_groups(), "root string, word string")
 
 
-def siblings(tokens: DataFrame, query: str) -> DataFrame:
-    """(token, score): tokens with the query's stem or in one of its alias groups, the query itself left out."""
+def token_table(postings: DataFrame) -> DataFrame:
+    """(token, stem, grams): the distinct tokens of an index with what searches compare."""
+    tokens = postings.select("token").distinct()
+    return tokens.select("token", stem("token").alias("stem"), trigrams("token").alias("grams"))
+
+
+def _sibling(query: str, same_stem: Column) -> tuple[Column, Column]:
+    """Whether a token is a sibling of the query token, and its score if it is."""
     groups = [root for root, word in alias_groups() if word == query]
     words = sorted({word for root, word in alias_groups() if root in groups})
-    related = F.col("token").isin(words) if words else F.lit(False)
-    q = F.lit(query)
+    token, q = F.col("token"), F.lit(query)
+    related = token.isin(words) if words else F.lit(False)
     base = F.when(related, ALIAS).otherwise(STEM)
-    score = base + SHARED * shared_prefix(F.col("token"), q) / F.greatest(F.length("token"), F.length(q))
-    return tokens.where((F.col("token") != q) & (related | (stem("token") == stem(q)))).select("token", score.alias("score"))
+    score = base + SHARED * shared_prefix(token, q) / F.greatest(F.length(token), F.length(q))
+    return (token != q) & (related | same_stem), score
+
+
+def siblings(tokens: DataFrame, query: str) -> DataFrame:
+    """(token, score): tokens with the query's stem or in one of its alias groups, the query itself left out."""
+    related, score = _sibling(query, stem("token") == stem(F.lit(query)))
+    return tokens.where(related).select("token", score.alias("score"))
 
 
 def _rank(kind: Column) -> Column:
@@ -150,24 +163,28 @@ def fuzzy_search(postings: DataFrame, query: str) -> DataFrame:
     """
     spark = postings.sparkSession
     asked = spark.range(1).select(name_tokens(F.lit(query)).alias("t")).first()["t"]
-    tokens = postings.select("token").distinct()
-    matches = []
-    for word in asked:
-        q = F.lit(word)
-        found = candidate_tokens(tokens, word)
-        names = found.select("token", name_match(F.col("token"), q).alias("m")).where("m IS NOT NULL")
-        names = names.select("token", "m.score", "m.kind", F.array(F.lit("name")).alias("origins"))
-        notes = found.where(F.contains("token", q)).select(
-            "token", F.lit(ANNOTATION).alias("score"), F.lit("annotation").alias("kind"), F.array(F.lit("annotation")).alias("origins")
-        )
-        related = siblings(tokens, word).select(
-            "token", "score", F.lit("stem").alias("kind"), F.array(F.lit("name"), F.lit("annotation")).alias("origins")
-        )
-        for part in (names, notes, related):
-            matches.append(part.withColumn("asked", q))
-    if not matches:
+    if not asked:
         return postings.select("component_id", F.lit(0.0).alias("score"), F.lit("").alias("match_type")).limit(0)
-    wanted = reduce(DataFrame.unionByName, matches).select("token", "score", "kind", "asked", F.explode("origins").alias("origin"))
+    tokens = cut(token_table(postings))
+    stems = spark.range(1).select(*(stem(F.lit(w)).alias(str(i)) for i, w in enumerate(asked))).first()
+    shares = {w: F.arrays_overlap("grams", trigrams(F.lit(w))) for w in asked}
+    # One boolean per word of the query: whether any token shares a trigram.
+    known = tokens.agg(*(F.max(shares[w]).alias(str(i)) for i, w in enumerate(asked))).first()
+    token, both = F.col("token"), F.array(F.lit("name"), F.lit("annotation"))
+    found = []
+    for i, word in enumerate(asked):
+        q = F.lit(word)
+        near = shares[word] if known[str(i)] else F.lit(True)
+        name = name_match(token, q)
+        related, score = _sibling(word, F.col("stem") == stems[str(i)])
+        item = lambda s, k, o, q=q: F.struct(q.alias("asked"), s.cast("double").alias("score"), k.alias("kind"), o.alias("origins"))
+        found += [
+            F.when(near & name.isNotNull(), item(name["score"], name["kind"], F.array(F.lit("name")))),
+            F.when(near & F.contains(token, q), item(F.lit(ANNOTATION), F.lit("annotation"), F.array(F.lit("annotation")))),
+            F.when(related, item(score, F.lit("stem"), both)),
+        ]
+    wanted = tokens.select("token", F.explode(F.filter(F.array(*found), lambda m: m.isNotNull())).alias("m"))
+    wanted = wanted.select("token", "m.asked", "m.score", "m.kind", F.explode("m.origins").alias("origin"))
     hits = _best(postings.join(wanted, ["token", "origin"]), ["asked", "component_id"])
     order = F.struct(F.col("score"), -_rank(F.col("kind")))
     return hits.groupBy("component_id").agg(F.sum("score").alias("score"), F.max_by("kind", order).alias("match_type"))

@@ -26,22 +26,29 @@ def heavy_keys(df: DataFrame, key: str, most: int = HEAVY_KEYS) -> DataFrame:
     return counts.orderBy(F.desc("_n"), F.asc(key)).limit(most).select(key)
 
 
+#: A heavy key's rows are spread over so many join partitions.
+SALTS = 16
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", most: int = HEAVY_KEYS) -> DataFrame:
     """Equi-join on `key` where right has one row per key and left may be skewed.
 
-    Left rows of heavy keys meet a broadcast table of at most `most` right
-    rows and never move; the others take Spark's shuffled join. how is inner or
-    left. Null keys match nothing and are kept by a left join.
+    Left rows of heavy keys are spread by a hash of the row, and the few right
+    rows of those keys (at most `most`) are repeated once per salt; all other
+    keys join as ever. how is left or inner. Null keys match nothing, are kept
+    by a left join and spread likewise. The result's columns are the key, the
+    rest of left, the rest of right.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    heavy = heavy_keys(left, key, most)
-    # Broadcasts below are bounded by `most` rows: keys of right are unique.
-    heavy_right = right.join(F.broadcast(heavy), key, "left_semi")
-    marked = left.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), key, "left")
-    hot = marked.where(F.col("_heavy")).drop("_heavy").join(F.broadcast(heavy_right), key, how)
-    cold = marked.where(F.col("_heavy").isNull()).drop("_heavy").join(right, key, how)
-    return hot.unionByName(cold)
+    # Bounded by `most` rows, so broadcast is safe at any size.
+    heavy = F.broadcast(heavy_keys(left, key, most).withColumn("_heavy", F.lit(True)))
+    slot = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    salt = F.when(F.col("_heavy") | F.col(key).isNull(), slot).otherwise(0)
+    salted = left.join(heavy, key, "left").withColumn("_salt", salt).drop("_heavy")
+    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(heavy, key, "left").withColumn("_salt", F.explode(copies)).drop("_heavy")
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def global_index(df: DataFrame, order: list[str], value: Column | None = None, index: str = "_index") -> DataFrame:
@@ -75,3 +82,13 @@ def global_index(df: DataFrame, order: list[str], value: Column | None = None, i
     keep = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(index, T.LongType())])
     return rows.mapInArrow(run, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores.
+
+    A small file is one partition, which would leave costly Python work to one
+    core. Large inputs have more partitions than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
