@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.skew import skew_join
+from quern.operators.skew import skew_join, spread
 from quern.session import cut
 from quern.sources.ignore import ignored
 
@@ -280,7 +280,7 @@ def features(files: DataFrame, own_names: tuple[str, ...] = ()) -> DataFrame:
             schema = schema or pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in FEATURES.split(", ")])
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
 
-    return rows.mapInArrow(run, FEATURES)
+    return spread(rows).mapInArrow(run, FEATURES)
 
 
 def not_handwritten(files: DataFrame, patterns: list[str], own_names: tuple[str, ...] = ()) -> DataFrame:

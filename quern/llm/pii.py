@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quern.operators.skew import spread
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 MAX_SPAN = 160
@@ -476,7 +478,8 @@ def find(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     documents: (doc_id, text). Whole texts are searched, whatever their
     length; null and empty texts hold nothing. A repeated row gives its spans
     again. The model is fitted on the driver and sent with the tasks (some
-    hundred kilobytes); the texts are read once and never shuffled.
+    hundred kilobytes); the texts are read once, and shuffled only where they lie in
+    fewer partitions than there are cores.
     """
     given = _names_of(given_names)
     weights = trained(given)
@@ -492,7 +495,7 @@ def find(documents: DataFrame, given_names: DataFrame) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "pii_kind", "pii_text", "start", "end"]
             )
 
-    source = documents.select("doc_id", "text")
+    source = spread(documents.select("doc_id", "text"))
     wide = source.schema["doc_id"].dataType
     doc_type = pa.string() if isinstance(wide, T.StringType) else pa.int64()
     source = source.withColumn("doc_id", source["doc_id"].cast("string" if doc_type == pa.string() else "long"))
@@ -524,4 +527,4 @@ def redact(documents: DataFrame, given_names: DataFrame) -> DataFrame:
             new = pa.array([redact_text(t, weights, given) for t in batch.column("text").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if n == "text" else batch.column(n) for n in names], names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return spread(documents).mapInArrow(run, documents.schema)

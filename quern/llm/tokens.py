@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quern.operators.skew import spread
+
 #: A byte-level BPE vocabulary as ranks, and how it splits text before merging.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 DEFAULT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -46,4 +48,4 @@ def with_token_counts(
             counts = np.fromiter((len(encode(t)) if t else 0 for t in batch.column(text).to_pylist()), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(counts)], [*names, "n_tokens"])
 
-    return df.select(*names, text).mapInArrow(run, T.StructType([*keep, T.StructField("n_tokens", T.LongType())]))
+    return spread(df.select(*names, text)).mapInArrow(run, T.StructType([*keep, T.StructField("n_tokens", T.LongType())]))
