@@ -16,6 +16,10 @@ def latest_rows(snapshots: DataFrame) -> DataFrame:
     snapshot the one received last holds; of those received at one time the
     greatest hash. Rows without root, path or readable instant are no part of
     any snapshot and are left out. A null hash stays null, a value of its own.
+
+    Rows are shuffled once, by root and path: that also serves everything that
+    compares the snapshots of a root later, and spreads even a root that holds
+    most of the rows.
     """
     cleaned = snapshots.select(
         F.col("root"),
@@ -24,10 +28,25 @@ def latest_rows(snapshots: DataFrame) -> DataFrame:
         F.lower("file_hash").alias("hash"),
         micros_of("received_at").alias("got"),
     ).where("root IS NOT NULL AND at IS NOT NULL AND path IS NOT NULL")
-    best = cleaned.groupBy("root", "at", "path").agg(F.max(F.struct("got", "hash")).alias("best"))
+    keyed = cleaned.repartition("root", "path")
+    best = keyed.groupBy("root", "path", "at").agg(F.max(F.struct("got", "hash")).alias("best"))
     return best.select("root", "at", "path", F.col("best.hash").alias("hash"))
 
 
+def except_all_both_ways(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a EXCEPT ALL b, b EXCEPT ALL a) for tables of the same columns, in one aggregation.
+
+    EXCEPT ALL counts each distinct row up in one table and down in the other;
+    what is over on either side is that side's residue. Nulls equal nulls.
+    """
+    columns = a.columns
+    signed = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
+    rest = signed.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    copies = lambda sign: F.explode(F.sequence(F.lit(1), sign * F.col("_n")))
+    over = lambda sign: rest.where(sign * F.col("_n") > 0).withColumn("_k", copies(sign)).select(columns)
+    return over(1), over(-1)
+
+
 def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     """(root, generated_at, path, change_kind, old_hash, new_hash) between consecutive snapshots.
 
@@ -40,15 +59,17 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     rows = latest_rows(snapshots)
     # One row per root and snapshot: the window never holds files.
     order = Window.partitionBy("root").orderBy("at")
-    index = rows.select("root", "at").distinct().select("root", "at", F.lag("at").over(order).alias("prev_at"))
-    later = rows.join(index.where("prev_at IS NOT NULL").drop("prev_at"), ["root", "at"], "left_semi")
+    instants = snapshots.select("root", instant("generated_at").alias("at")).where("root IS NOT NULL AND at IS NOT NULL AND path IS NOT NULL")
+    index = instants.distinct().select("root", "at", F.lag("at").over(order).alias("prev_at"))
+    later = rows.join(index.where("prev_at IS NOT NULL").drop("prev_at"), ["root", "at"], "left_semi").select("root", "path", "at", "hash")
     following = index.where("prev_at IS NOT NULL").select("root", F.col("prev_at").alias("at"), F.col("at").alias("next_at"))
-    earlier = rows.join(following, ["root", "at"]).select("root", F.col("next_at").alias("at"), "path", "hash")
+    earlier = rows.join(following, ["root", "at"]).select("root", "path", F.col("next_at").alias("at"), "hash")
 
-    new = later.exceptAll(earlier).withColumnRenamed("hash", "new_hash").withColumn("is_new", F.lit(True))
-    old = earlier.exceptAll(later).withColumnRenamed("hash", "old_hash").withColumn("is_old", F.lit(True))
+    new, old = except_all_both_ways(later, earlier)
+    new = new.withColumnRenamed("hash", "new_hash").withColumn("is_new", F.lit(True))
+    old = old.withColumnRenamed("hash", "old_hash").withColumn("is_old", F.lit(True))
     kind = F.when(F.col("is_old").isNull(), "added").when(F.col("is_new").isNull(), "removed").otherwise("changed")
-    return new.join(old, ["root", "at", "path"], "full").select(
+    return new.join(old, ["root", "path", "at"], "full").select(
         "root", utc_text(F.col("at")).alias("generated_at"), "path", kind.alias("change_kind"), "old_hash", "new_hash"
     )
 
