@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.cleaning import instant, lower_trimmed, micros_of, utc_month
@@ -24,10 +24,10 @@ def references(df: DataFrame, ref_table: str, key: Column, at: Column) -> DataFr
 
 
 def lifetimes(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(id, start, end): when each key exists, overlapping and repeated spells merged.
+    """(id, start, end): when each key exists, repeated spells dropped.
 
     Null start: the spell is unknown and left out. Null end: it lasts. A spell
-    that ends before it starts is empty.
+    that ends before it starts is empty. Spells may overlap.
     """
     forever = F.lit(2**63 - 1)
     spells = parents.select(
@@ -35,12 +35,7 @@ def lifetimes(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
         micros_of(start).alias("start"),
         F.coalesce(micros_of(end), forever).alias("end"),
     ).where("id IS NOT NULL AND start IS NOT NULL AND end > start")
-    spells = spells.groupBy("id", "start").agg(F.max("end").alias("end"))
-    by_start = Window.partitionBy("id").orderBy("start")
-    before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spells.withColumn("fresh", F.when(before.isNull() | (before < F.col("start")), 1).otherwise(0))
-    grouped = marked.withColumn("spell", F.sum("fresh").over(by_start))
-    return grouped.groupBy("id", "spell").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("spell")
+    return spells.groupBy("id", "start").agg(F.max("end").alias("end"))
 
 
 def orphans(refs: DataFrame, alive: DataFrame, salts: int = 16) -> DataFrame:
