@@ -264,7 +264,7 @@ def file_features(path: str, content: str, automaton, own_names: frozenset[str])
 
 def features(files: DataFrame, own_names: tuple[str, ...] = ()) -> DataFrame:
     """FEATURES of every distinct (path, content); rows with a null path are left out, null content is empty."""
-    rows = files.select("path", F.coalesce("content", F.lit("")).alias("content")).where("path IS NOT NULL").distinct()
+    rows = files.select("path", F.coalesce("content", F.lit("")).alias("content")).where("path IS NOT NULL")
     own = frozenset(n.lower() for n in own_names)
 
     def run(batches):
@@ -280,7 +280,8 @@ def features(files: DataFrame, own_names: tuple[str, ...] = ()) -> DataFrame:
             schema = schema or pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in FEATURES.split(", ")])
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
 
-    return spread(rows).mapInArrow(run, FEATURES)
+    # Repeated rows are few: their features are dropped, so that no content is shuffled.
+    return spread(rows).mapInArrow(run, FEATURES).distinct()
 
 
 def not_handwritten(files: DataFrame, patterns: list[str], own_names: tuple[str, ...] = ()) -> DataFrame:
