@@ -76,7 +76,7 @@ _IDS = re.compile(
     r"|\d{9,13}"
     r")(?![\w]|[-.]\d)"
 )
-_WORD = re.compile(rf"(?:[OD]['’](?=[{_UP}]))?{_CAP}(?:\.(?=[  ,)\"]|$))?|[a-zà-ÿ]{{1,5}}(?=[  ])|\S")
+_WORD = re.compile(rf"(?:[OD]['’](?=[{_UP}]))?{_CAP}(?:\.(?=[  ,)\"]|$))?|[a-zà-ÿ]{{1,5}}(?=[  ])|\w+|\S")
 _NL = r"[  ]?\r?\n?[  ]{0,4}"
 _TOWN = rf"{_CAP}(?:[  ](?:{_CAP}|am|an der|upon|sur|de|la)){{0,2}}"
 _EN_CORE = re.compile(
@@ -108,6 +108,8 @@ class Span:
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     text = text.replace("ß", "ss").replace("ø", "o").replace("Ø", "O").replace("ł", "l").replace("Ł", "L").replace("đ", "d").replace("ı", "i").replace("æ", "ae")
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
@@ -265,7 +267,7 @@ def _name_tokens(text: str):
         if run and (not joined or not useful):
             yield run
             run = []
-        if useful and (run or capital or fold(word) in PARTICLES):
+        if useful and (run or word != ","):
             run.append((m.start(), m.end(), word))
     if run:
         yield run
