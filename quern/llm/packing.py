@@ -197,8 +197,10 @@ def pack(
     their rank among those of their class, which a range-partitioned running
     count gives without gathering a class anywhere. A text without tokens
     needs no space: its container, position and start are null. Empty input
-    gives no rows; no container kinds neither.
+    gives no rows; no container kinds neither; a kind without name or capacity
+    is none. Repeated rows are items of their own.
     """
+    containers = [(kind, capacity) for kind, capacity in containers if kind is not None and capacity is not None]
     if not containers:
         return sizes.sparkSession.createDataFrame([], RESULT)
     if any(c <= 0 for _, c in containers):

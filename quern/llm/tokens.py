@@ -32,15 +32,13 @@ def with_token_counts(
 ) -> DataFrame:
     """df with its text column replaced by n_tokens (long), the size of the whole text.
 
-    A null or empty text has 0 tokens. Special tokens' strings count as
+    A column n_tokens the input has already is replaced. A null or empty text has 0 tokens. Special tokens' strings count as
     ordinary text. The other columns pass through as Arrow buffers; select
     what is needed first. The vocabulary file must be readable on every
     worker; its path is a parameter.
     """
-    keep = [f for f in df.schema.fields if f.name != text]
+    keep = [f for f in df.schema.fields if f.name not in (text, "n_tokens")]
     names = [f.name for f in keep]
-    if "n_tokens" in names:
-        raise ValueError("the input has a column n_tokens already")
 
     def run(batches):
         encode = encoder(vocabulary, pattern).encode_ordinary

@@ -204,8 +204,12 @@ def test_packing_is_valid_and_tight(spark, capacity):
 def test_packing_edges(spark):
     assert packed(spark, [], [("k", 8)]) == [] and packed(spark, [1], []) == []
     assert len({x["container_id"] for x in packed(spark, [5] * 40, [("k", 8)])}) == 40  # no two fit
+    assert packed(spark, [1], [("k", None), (None, 8)]) == []
     with pytest.raises(ValueError):
         packed(spark, [1], [("k", 0)])
+    df = spark.createDataFrame([(1, 5, "x"), (1, 5, "x"), (None, 3, "y"), (2, None, None)], "doc_id long, n_tokens long, container_id string")
+    rows = packing.pack(df, [("k", 8)]).collect()
+    assert sorted(str(x["doc_id"]) for x in rows) == ["1", "1", "2", "None"] and len({x["container_id"] for x in rows if x["container_id"] is not None}) == 2
 
 
 def test_knapsack_against_brute_force():
@@ -231,6 +235,8 @@ def test_plan_reaches_a_known_optimum():
 def test_token_counts(spark):
     texts = [("a", "Hello world"), ("b", ""), ("c", None), ("d", "<|endoftext|> é\n" * 3), ("e", "x" * 200_000)]
     got = {r["id"]: r["n_tokens"] for r in tokens.with_token_counts(spark.createDataFrame(texts, "id string, text string")).collect()}
+    clash = spark.createDataFrame([("a", "Hello", "no")], "n_tokens string, text string, k string")
+    assert tokens.with_token_counts(clash).first().asDict() == {"k": "no", "n_tokens": 1}
     encode = tokens.encoder().encode_ordinary
     assert got == {k: len(encode(t or "")) for k, t in texts}
     for _, t in texts:
@@ -271,6 +277,9 @@ def test_mixture(spark):
     # A source too small for a given total is used as often as allowed.
     capped = {x["source"]: x["repeats"] for x in mixing.repeats(sized, targets, total=10**7).where("n_tokens > 0").select("source", "repeats").distinct().collect() if x["source"] in ("big", "small_one")}
     assert capped == {"big": 1, "small_one": 3}
+    odd = spark.createDataFrame([(None, "big", 5, 9), (1, None, None, 9), (1, None, None, 9)], "doc_id long, source string, n_tokens long, repeats int")
+    loose = spark.createDataFrame([("big", 0.5, 1), ("big", 0.1, 2), (None, 0.2, 1), ("x", None, None)], "source string, target_share double, max_repeats int")
+    assert mixing.repeats(odd, loose).count() == 3
     empty = mixing.repeats(sized.where("false"), targets)
     assert empty.count() == 0 and mixing.shares(empty, targets).where("reached_share IS NULL").count() == 3
 
