@@ -147,10 +147,10 @@ def test_distinctive_terms_against_brute_force(spark):
     for c in {c for c, _ in tf}:
         own = {t: n for (d, t), n in tf.items() if d == c}
         p = {t: n / sum(own.values()) for t, n in own.items()}
-        for _ in range(200):
+        for _ in range(20_000):
             e = {t: n * 0.3 * p[t] / (0.7 * cf[t] / mass + 0.3 * p[t]) for t, n in own.items()}
             new = {t: v / sum(e.values()) for t, v in e.items()}
-            done = max(abs(new[t] - p[t]) for t in p) <= 1e-9
+            done = max(abs(new[t] - p[t]) for t in p) <= 1e-13
             p = p if done else new
             if done:
                 break
