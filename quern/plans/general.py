@@ -156,7 +156,7 @@ ORACLE = {
     "p6_found": _P6 + "SELECT path FROM marked WHERE status = 'cycle'",
     "p6_hierarchy": _P6
     + """SELECT m.path, m.status,
-         CASE WHEN m.status = 'tree' THEN coalesce(d.depth, 0) END AS depth,
+         CASE WHEN m.status = 'tree' THEN coalesce(d.depth, 0) END::BIGINT AS depth,
          CASE WHEN m.status = 'tree' THEN coalesce(c.root, m.path) END AS root,
          CASE WHEN m.status = 'tree' THEN coalesce(c.chain, '') END AS chain,
          CASE WHEN m.status = 'tree' THEN coalesce(s.n_below, 0) END AS n_below,

@@ -121,7 +121,7 @@ def list_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {B.COMPS} SELECT id, {B.sql_ascii_lower('name')} AS lowered, CASE WHEN display_path = '' THEN 0
       WHEN language IN ('python', 'javascript', 'typescript', 'go', 'swift') THEN len(string_split(display_path, '.')) - 1
-      ELSE len(string_split(display_path, '::')) - 1 END AS depth,
+      ELSE len(string_split(display_path, '::')) - 1 END::INTEGER AS depth,
     CASE WHEN len(n) > 40 THEN substr(n, 1, 37) || '...' ELSE n END AS shown, CASE WHEN len(n) <= 12 THEN n ELSE substr(n, 1, 9) || '...' END AS short,
     string_split(id, '-')[1] AS prefix FROM (SELECT *, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS n FROM comps)"""
 )
@@ -140,7 +140,7 @@ def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {B.COMPS}, {B.FILES}, l AS (
       SELECT path, unnest(x) AS code, generate_subscripts(x, 1) AS line FROM (
         SELECT path, string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) AS x FROM files WHERE content <> ''))
-    SELECT c.id, l.line, l.code FROM comps c JOIN l ON l.path = c.file AND l.line BETWEEN c.start_line AND c.end_line"""
+    SELECT c.id, l.line::INTEGER AS line, l.code FROM comps c JOIN l ON l.path = c.file AND l.line BETWEEN c.start_line AND c.end_line"""
 )
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered source lines of every component."""
@@ -368,14 +368,14 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {B.STORE}, p AS (SELECT DISTINCT path, {B.sql_valid_path('path')} AS valid FROM store)
     SELECT path, valid, CASE WHEN starts_with(valid, '@') THEN regexp_extract(valid, '^@([^/]+)/', 1) END AS scope,
-    regexp_replace(valid, '^@[^/]+/', '') AS topic, len(string_split(valid, '/')) - 1 AS depth FROM p"""
+    regexp_replace(valid, '^@[^/]+/', '') AS topic, (len(string_split(valid, '/')) - 1)::INTEGER AS depth FROM p"""
 )
 def link_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.store(spark, sf_dir).select("path").distinct().withColumn("valid", L.valid_path("path"))
     return rows.select("path", "valid", L.scope("valid").alias("scope"), L.topic("valid").alias("topic"), L.path_depth("valid").alias("depth"))
 
 
-@query(f"WITH {_LINK_BASE} SELECT component_id, path, pos FROM merged")
+@query(f"WITH {_LINK_BASE} SELECT component_id, path, pos::INTEGER AS pos FROM merged")
 def merged_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir)
 
@@ -397,7 +397,7 @@ def top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_LINK_BASE}, keys AS (SELECT {B.sql_ascii_lower('trim(path)')} AS key, min(sort_key) AS sort_key FROM link_catalog GROUP BY 1),
     p AS (SELECT min(path) AS path FROM merged GROUP BY {B.sql_ascii_lower('path')})
-    SELECT p.path, coalesce(k.sort_key, '') AS sort_key, len(string_split(p.path, '/')) - 1 AS depth FROM p LEFT JOIN keys k ON k.key = {B.sql_ascii_lower('p.path')}"""
+    SELECT p.path, coalesce(k.sort_key, '') AS sort_key, (len(string_split(p.path, '/')) - 1)::INTEGER AS depth FROM p LEFT JOIN keys k ON k.key = {B.sql_ascii_lower('p.path')}"""
 )
 def ordered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = table(spark, sf_dir, "link_catalog").select(F.trim("path").alias("path"), "sort_key")
@@ -490,7 +490,7 @@ def reconciled_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {B.NOTES}, new AS (SELECT * FROM anns WHERE list_contains(tags, 'hot'))
-    SELECT a.hash_id, a.created_at, CASE WHEN n.hash_id IS NULL THEN a.content ELSE 'reviewed' END AS content, len(a.tags) AS n_tags
+    SELECT a.hash_id, a.created_at, CASE WHEN n.hash_id IS NULL THEN a.content ELSE 'reviewed' END AS content, len(a.tags)::INTEGER AS n_tags
     FROM anns a LEFT JOIN new n USING (hash_id)"""
 )
 def upserted_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
