@@ -119,10 +119,10 @@ MINIFIED_PATHS = r"(?:[.\-](?:min|prod|bundle)|\.[0-9a-f]{8})\.(?:js|css|mjs)$|(
 
 # --- patterns of code ------------------------------------------------------------
 
-_COMMENT = re.compile(r"^\s*(?://+[/!]?|#+(?!\s*(?:include|define|if|ifdef|ifndef|endif|pragma|undef|else|elif)\b)|/\*+!?|\*+(?!/)|--+|;+|<!--)\s?(.*?)\s*(?:\*/|-->)?\s*$")
+_COMMENT = re.compile(r"\s*+(?://++[/!]?|#++(?!\s*(?:include|define|if|ifdef|ifndef|endif|pragma|undef|else|elif)\b)|/\*++!?|\*++(?!/)|--+|;++|<!--)")
 _FUNCTION = re.compile(
     r"(?:\b(?:fn|func|function|def|sub|fun)\s+|^(?:static\s+|inline\s+|const\s+|extern\s+)*(?:unsigned\s+)?(?:int|void|double|char|long|short|float|bool|size_t|auto|u?int\d+_t)\s+\**)"
-    r"([A-Za-z_]\w*)\s*\(([^)]*)\)",
+    r"([A-Za-z_]\w*)\s*\(([^)]{0,400})\)",
     re.M,
 )
 _DEFINED = re.compile(
@@ -132,7 +132,9 @@ _DEFINED = re.compile(
     re.M,
 )
 _PARTS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_DATA_LINE = re.compile(r"""^[\s\[\]{}(),;:+\-]*(?:(?:0[xX][0-9a-fA-F]+|[+\-]?\d[\d_.]*(?:[eE][+\-]?\d+)?|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|true|false|null|None|nil)[\s\[\]{}(),;:]*)+$""")
+_DATA_LINE = re.compile(
+    r"""[\s\[\]{}(),;:]*+(?:(?>[+\-]?0[xX][0-9a-fA-F]++|[+\-]?\d[\d_.]*+(?:[eE][+\-]?\d++)?|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|true|false|null|None|nil)(?:[\s\[\]{}(),;:]++|$))++$"""
+)
 _BLOB = re.compile(r"""["'`][A-Za-z0-9+/=_\\x-]{160,}["'`]""")
 _OWN = re.compile(r"part of (\w+) itself")
 _LIBRARY = (
@@ -214,8 +216,8 @@ def file_features(path: str, content: str, automaton, own_names: frozenset[str])
     lines = re.split(r"\r\n|\r|\n", content)
     comments: list[str | None] = []
     for line in lines:
-        m = _COMMENT.match(line) if line.strip() else None
-        comments.append(m.group(1) if m else None)
+        m = _COMMENT.match(line)
+        comments.append(line[m.end() :].strip().removesuffix("*/").removesuffix("-->").rstrip() if m else None)
 
     generated = 0.0
     in_header, third, header_text = True, {}, []

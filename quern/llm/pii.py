@@ -295,7 +295,7 @@ def _word_kind(word: str) -> str:
 _NAME_FORMS = re.compile(r"(?:C|I)(?:I|C){0,1}(?:p{0,3})[CU]|(?:p{0,3})[CU],C(?:I)?|(?:C|I)I{1,2}(?:p{0,3})[CU]|[CU],I")
 
 
-def _names(text: str, given: frozenset[str], mailboxes: str):
+def _names(text: str, given: frozenset[str], mailboxes: frozenset[str]):
     for run in _name_tokens(text):
         kinds = [_word_kind(w) for _, _, w in run]
         for i in range(len(run)):
@@ -346,7 +346,7 @@ _LOWER_PAIR = re.compile(r"(?<![\w./@`'-])([^\W\d_]{3,}(?:-[^\W\d_]{3,})?)[  ]((
 _LOWER_FIRST = re.compile(r"(?<![\w./@`'-])([^\W\d_]{5,}(?:-[^\W\d_]{4,})*), ([^\W\d_]{3,})(?![\w/@_(]|\.\w)")
 
 
-def _lower_names(text: str, given: frozenset[str], mailboxes: str):
+def _lower_names(text: str, given: frozenset[str], mailboxes: frozenset[str]):
     """Names written without capitals: only after a given name that is known."""
     for pattern, first in ((_LOWER_PAIR, 1), (_LOWER_FIRST, 2)):
         at = 0
@@ -366,7 +366,8 @@ def _lower_names(text: str, given: frozenset[str], mailboxes: str):
 def candidates(text: str, given: frozenset[str]) -> list[Span]:
     """Every plausible span of a text with its features, by end and start."""
     spans: list[tuple] = list(_emails(text))
-    mailboxes = " ".join(re.sub(r"[^a-z]", "", fold(text[a:b])) for a, b, *_ in spans)
+    pieces = {p for a, b, *_ in spans for p in re.split(r"[^a-z]+", fold(text[a:b]))}
+    mailboxes = frozenset(pieces | {p[1:] for p in pieces})  # with and without an initial
     spans += _numbers(text)
     spans += _addresses(text)
     spans += _names(text, given, mailboxes)

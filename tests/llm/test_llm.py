@@ -360,3 +360,17 @@ def test_find_and_redact(spark):
     assert rows[1] == "cc [NAME]\nTel.: [PHONE]" and rows[2] is None and rows[3] == ""
     assert rows[4] == long.replace("Petra Lindqvist", "[NAME]")
     assert pii.find(docs.where(F.lit(False)), given).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["// a" + " " * 200_000 + "b", "1" * 200_000 + "x", '"' * 200_000, "fn a(" * 40_000, "/*" * 100_000, "A-" * 100_000, "12 Main " * 30_000, "anna.berg@mail.acme.example, Anna Berg; " * 3000, "a." * 100_000],
+    ids=["blanks", "digits", "quotes", "brackets", "comments", "capitals", "streets", "mailboxes", "dots"],
+)
+def test_very_long_texts_take_linear_time(model, text):
+    import time
+
+    began = time.time()
+    handwritten.file_features("p/a.py", text, handwritten._automaton(), frozenset())
+    pii.find_spans(text, *model)
+    assert time.time() - began < 10
