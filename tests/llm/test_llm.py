@@ -166,6 +166,15 @@ def test_rare_pairs(spark):
     assert [(p["component_a"], p["component_b"], p["shared"]) for p in pairs.collect()] == [("x", "y", 2)]
 
 
+def test_rare_pairs_of_a_component_with_a_third_of_the_postings(spark):
+    rows = [(f"own{i}", "big", "name") for i in range(998)] + [(f"common{i}", f"c{j}", "name") for i in range(40) for j in range(50)]
+    rows += [(t, c, "name") for t in ("s1", "s2") for c in ("big", "x", "y")]
+    scores = terms.distinctive_terms(postings(spark, rows)).cache()
+    assert {x["score"] for x in scores.where("component_id = 'big' AND token IN ('s1', 's2')").collect()} == {0.0}
+    got = {(p["component_a"], p["component_b"], p["shared"]) for p in terms.rare_pairs(scores).collect()}
+    assert got == {("big", "x", 2), ("big", "y", 2), ("x", "y", 2)}
+
+
 # --- 7: containers ----------------------------------------------------------------------
 
 
