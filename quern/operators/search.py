@@ -58,13 +58,15 @@ def build_postings(components: DataFrame, annotations: DataFrame, links: DataFra
     """(token, component_id, origin): distinct postings of names, notes and links.
 
     components: (id, name); annotations: (component_id, content, tags); links:
-    (component_id, path). Notes and links count as origin annotation.
+    (component_id, path), those of notes among them. A tag is one token, in
+    lower case. Notes and links count as origin annotation.
     """
     names = components.select(F.explode(name_tokens("name")).alias("token"), F.col("id").alias("component_id"), F.lit("name").alias("origin"))
-    text = F.concat_ws(" ", "content", F.array_join("tags", " "))
-    notes = annotations.select(F.explode(content_tokens(text)).alias("token"), "component_id", F.lit("annotation").alias("origin"))
+    notes = annotations.select(F.explode(content_tokens("content")).alias("token"), "component_id", F.lit("annotation").alias("origin"))
+    tags = annotations.select(F.explode("tags").alias("token"), "component_id", F.lit("annotation").alias("origin"))
+    tags = tags.withColumn("token", ascii_lower(F.trim("token"))).where("token <> ''")
     paths = links.select(F.explode(link_tokens("path")).alias("token"), "component_id", F.lit("annotation").alias("origin"))
-    return names.unionByName(notes).unionByName(paths).distinct()
+    return names.unionByName(notes).unionByName(tags).unionByName(paths).distinct()
 
 
 def token_sets(postings: DataFrame) -> DataFrame:

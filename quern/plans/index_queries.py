@@ -212,12 +212,35 @@ def link_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT token, count(*) AS n_components, min(component_id) AS first_id, max(component_id) AS last_id FROM rows GROUP BY token"""
 )
 def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token index built anew from names and notes."""
+    """The token index built anew from names and the text of notes, by the notes' own ids; whole_token_index has the rest too."""
     notes = B.annotations(spark, sf_dir).select(F.col("hash_id").alias("component_id"), "content", F.array().cast("array<string>").alias("tags"))
     none = B.store(spark, sf_dir).where(F.lit(False))
     return S.token_sets(S.build_postings(B.components(spark, sf_dir), notes, none))
 
 
+@query(
+    f"""WITH {B.COMPS}, {_NAME_TOKENS}, {B.NOTES}, {_TEXT_TOKENS}, {B.RESOLVED}, {B.STORE}, {B.MERGED},
+    paths AS (SELECT component_id, path FROM merged WHERE component_id IN (SELECT id FROM comps) UNION SELECT component_id, path FROM noted WHERE path IS NOT NULL),
+    lowered AS (SELECT component_id, {B.sql_ascii_lower('trim(path)')} AS l FROM paths),
+    rows AS (
+      SELECT token, id AS component_id FROM nt UNION SELECT token, component_id FROM tt JOIN resolved USING (hash_id) WHERE component_id IS NOT NULL
+      UNION SELECT * FROM (SELECT {B.sql_ascii_lower('trim(tag)')} AS token, component_id FROM (
+        SELECT component_id, unnest(tags) AS tag FROM resolved WHERE component_id IS NOT NULL)) WHERE token <> ''
+      UNION SELECT l, component_id FROM lowered
+      UNION SELECT * FROM (SELECT unnest([regexp_replace(trim(s), '^@+', '') FOR s IN string_split(l, '/')]) AS token, component_id FROM lowered) WHERE len(token) >= 2)
+    SELECT token, count(*) AS n_components, min(component_id) AS first_id, max(component_id) AS last_id FROM rows GROUP BY token"""
+)
+def whole_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token index built anew from names, notes with their tags and links, and the link store, by component."""
+    components = B.components(spark, sf_dir)
+    resolved = cut(A.resolve(B.annotations(spark, sf_dir), components).where("component_id IS NOT NULL"))
+    noted = B.noted_links(resolved).where("path IS NOT NULL")
+    merged = L.merge(B.store(spark, sf_dir), noted).join(components.select(F.col("id").alias("component_id")), "component_id", "left_semi")
+    # Links of notes count even where the merge leaves them out.
+    links = merged.select("component_id", "path").unionByName(noted.select("component_id", "path"))
+    return S.token_sets(S.build_postings(components, resolved, links))
+
+
 def _grams_sql(c: str) -> str:
     return f"[substr({c}, i, 3) FOR i IN range(1, len({c}) - 1)]"
 

@@ -14,6 +14,7 @@ from quern.operators import links as L
 from quern.operators import liveness as V
 from quern.operators import search as S
 from quern.operators import sync as Y
+from quern.plans.index_queries import whole_token_index
 from quern.sources.ignore import ignored
 
 
@@ -113,6 +114,30 @@ def test_ranked_search(spark):
     assert S.fuzzy_search(index, "  ").count() == 0
 
 
+def test_postings_hold_tags_and_links(spark):
+    components = spark.createDataFrame([("fn-a", "run")], "id string, name string")
+    notes = spark.createDataFrame([("fn-a", "Fast path", ["Needs-Review", "the"]), ("fn-a", None, ["hot"])], "component_id string, content string, tags array<string>")
+    links = spark.createDataFrame([("fn-a", "@Core/io/x")], "component_id string, path string")
+    got = {(r["token"], r["origin"]) for r in S.build_postings(components, notes, links).collect()}
+    noted = {"fast", "path", "needs-review", "the", "hot", "@core/io/x", "core", "io"}
+    assert got == {("run", "name"), *((t, "annotation") for t in noted)}
+
+
+def test_whole_token_index_by_component(spark, tmp_path):
+    tables = {
+        "components": ([("fn-a", "rust", "fn", "run", "src/a.rs", 1, 2, None, None, None, None), ("fn-b", "rust", "fn", "stop", "src/a.rs", 3, 4, None, None, None, None)],
+            "id string, language string, type string, name string, file string, start_line int, end_line int, death_status string, display_path string, removed_at timestamp, faults struct<errors:int,warnings:int,notes:int>"),
+        "annotations": ([("fn-old", "fn", "run", "src/a.rs", None, "quick", ["Keep"], ["net/http", "bad//link"], None, None), ("fn-gone", "fn", "none", "x", None, "lost", ["lost"], ["lost"], None, None)],
+            "hash_id string, component_type string, component_name string, file string, language string, content string, tags array<string>, links array<string>, created_at timestamp, updated_at timestamp"),
+        "link_membership": ([("fn-b", "Disk/io", 0), ("fn-gone", "lost", 0)], "component_id string, path string, pos int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["token"]: r["first_id"] for r in whole_token_index(spark, str(tmp_path)).collect()}
+    a, b = ("run", "quick", "keep", "net/http", "net", "http", "bad//link", "bad", "link"), ("stop", "disk/io", "disk", "io")
+    assert got == dict.fromkeys(a, "fn-a") | dict.fromkeys(b, "fn-b")
+
+
 def test_search_terms():
     assert S.parse_terms(["run"]) == (None, None, "run")
     assert S.parse_terms(["rs", "main"]) == ("rust", None, "main")
