@@ -260,7 +260,7 @@ def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT token, levenshtein(token, 'bufer') AS distance FROM toks WHERE levenshtein(token, 'bufer') <= 2 AND regexp_full_match(token, '[ -~]*')"""
 )
 def edit_distance_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = B.postings(spark, sf_dir).select("token").distinct().where(F.col("token").rlike("^[ -~]*$"))
+    tokens = B.postings(spark, sf_dir).select("token").distinct()
     rows = tokens.withColumn("distance", F.levenshtein("token", F.lit("bufer"), 2))
     return rows.where("distance >= 0").withColumn("distance", F.col("distance").cast("long"))
 
@@ -274,6 +274,7 @@ def _match_sql(q: str, t: str = "token") -> str:
     return f"{kind} AS kind, {score} AS score"
 
 
+#: DuckDB's levenshtein counts bytes: the SQL is compared over ASCII tokens, the queries see all.
 _ASCII = "regexp_full_match(token, '[ -~]*')"
 
 
@@ -282,7 +283,7 @@ _ASCII = "regexp_full_match(token, '[ -~]*')"
     SELECT token, kind, round(score, 6) AS score FROM m WHERE kind IS NOT NULL"""
 )
 def name_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = B.postings(spark, sf_dir).select("token").distinct().where(F.col("token").rlike("^[ -~]*$"))
+    tokens = B.postings(spark, sf_dir).select("token").distinct()
     rows = tokens.withColumn("m", S.name_match(F.col("token"), F.lit("parse"))).where("m IS NOT NULL")
     return rows.select("token", "m.kind", F.round("m.score", 6).alias("score"))
 
@@ -315,7 +316,7 @@ stems AS (SELECT token, CASE WHEN len(token) >= 4 AND len(s) > 4 AND ends_with(s
 
 @query(f"WITH {B.POSTINGS}, {_STEMS} SELECT token, stem FROM stems")
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = B.postings(spark, sf_dir).select("token").distinct().where(F.col("token").rlike("^[ -~]*$"))
+    tokens = B.postings(spark, sf_dir).select("token").distinct()
     return tokens.select("token", K.stem("token").alias("stem"))
 
 
@@ -339,7 +340,7 @@ _STEM_OF = {"parse": "pars", "buffer": "buff", "parse_buffer": "parse_buff", "co
 
 @query(f"WITH {B.POSTINGS}, {_STEMS} SELECT token, round(score, 6) AS score FROM ({_sibling_sql('parse').format(stem=repr(_STEM_OF['parse']))})")
 def stem_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = B.postings(spark, sf_dir).select("token").distinct().where(F.col("token").rlike("^[ -~]*$"))
+    tokens = B.postings(spark, sf_dir).select("token").distinct()
     return S.siblings(tokens, "parse").select("token", F.round("score", 6).alias("score"))
 
 
@@ -361,7 +362,7 @@ _ASCII_POST = B.POSTINGS.replace("WHERE", f"WHERE regexp_full_match({B.sql_id('t
 
 @query(f"WITH {_ASCII_POST}, {_STEMS}, {_FUZZY} SELECT component_id, round(score, 6) AS score, match_type FROM hits")
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.fuzzy_search(B.postings(spark, sf_dir).where(F.col("token").rlike("^[ -~]*$")), _QUERY)
+    found = S.fuzzy_search(B.postings(spark, sf_dir), _QUERY)
     return found.select("component_id", F.round("score", 6).alias("score"), "match_type").orderBy(F.desc("score"), "component_id")
 
 
@@ -373,8 +374,7 @@ def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE p.id NOT IN (SELECT id FROM plain)"""
 )
 def merged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = B.postings(spark, sf_dir).where(F.col("token").rlike("^[ -~]*$"))
-    rows = S.merged_search(B.components(spark, sf_dir), posts, _QUERY, language="py")
+    rows = S.merged_search(B.components(spark, sf_dir), B.postings(spark, sf_dir), _QUERY, language="py")
     return rows.select("id", F.round("score", 6).alias("score"), "match_type", "match_rank")
 
 

@@ -14,7 +14,7 @@ from quern.operators import links as L
 from quern.operators import liveness as V
 from quern.operators import search as S
 from quern.operators import sync as Y
-from quern.plans.index_queries import whole_token_index
+from quern.plans import index_queries as Q
 from quern.sources.ignore import ignored
 
 
@@ -133,11 +133,28 @@ def test_whole_token_index_by_component(spark, tmp_path):
     }
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {r["token"]: r["first_id"] for r in whole_token_index(spark, str(tmp_path)).collect()}
+    got = {r["token"]: r["first_id"] for r in Q.whole_token_index(spark, str(tmp_path)).collect()}
     a, b = ("run", "quick", "keep", "net/http", "net", "http", "bad//link", "bad", "link"), ("stop", "disk/io", "disk", "io")
     assert got == dict.fromkeys(a, "fn-a") | dict.fromkeys(b, "fn-b")
 
 
+def test_searches_see_tokens_outside_ascii(spark, tmp_path):
+    words = ["büfer", "parsé", "größen", "parse_büffer"]
+    spark.createDataFrame([(t, f"fn-{i}", "name") for i, t in enumerate(words)], "token string, component_id string, origin string").write.parquet(f"{tmp_path}/postings.parquet")
+    comps = [(f"fn-{i}", "python", "fn", t, "src/a.py", 1, 2, None, None, None, None) for i, t in enumerate(words)]
+    schema = "id string, language string, type string, name string, file string, start_line int, end_line int, death_status string, display_path string, removed_at timestamp, faults struct<errors:int,warnings:int,notes:int>"
+    spark.createDataFrame(comps, schema).write.parquet(f"{tmp_path}/components.parquet")
+    folder = str(tmp_path)
+    assert [(r["token"], r["distance"]) for r in Q.edit_distance_hits(spark, folder).collect()] == [("büfer", 1)]
+    assert {(r["token"], r["kind"], r["score"]) for r in Q.name_match_scores(spark, folder).collect()} == {("parsé", "fuzzy", 0.16), ("parse_büffer", "prefix", 0.7)}
+    assert {r["token"] for r in Q.stem_tokens(spark, folder).collect()} == set(words)
+    assert {(r["token"]) for r in Q.stem_siblings(spark, folder).collect()} == set()  # no ASCII word shares a stem with them
+    hits = {r["component_id"]: r["match_type"] for r in Q.fuzzy_search(spark, folder).collect()}
+    # parse and buffer each count; parse_buffer is a letter off.
+    assert hits["fn-3"] == "prefix" and hits["fn-1"] == "fuzzy"
+    assert {r["id"] for r in Q.merged_search(spark, folder).collect()} == set(hits)
+
+
 def test_search_terms():
     assert S.parse_terms(["run"]) == (None, None, "run")
     assert S.parse_terms(["rs", "main"]) == ("rust", None, "main")
