@@ -59,7 +59,7 @@ _AT = re.compile(r"@|＠|%40|&#64;|[  ]?(?:\[ ?at ?\]|\( ?at ?\)|\{ ?at ?\}|<at
 _LOCAL = re.compile(r"[\w.+'’&=~^-]{1,64}$")
 _DOT = r"(?:\.|[  ](?:dot|DOT|punto|punkt|point)[  ]|[  ]?(?:\[ ?(?:dot|\.) ?\]|\( ?(?:dot|\.) ?\)|\{dot\})[  ]?)"
 _DOMAIN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?){{1,6}}", re.I)
-_NUMBER = re.compile(r"(?<![\w])(?:\+|\(\+?|\d)(?:\d|[   ().\-/–‑](?=[\d(])|\)[   \-–‑]?(?=\d)){5,28}")
+_NUMBER = re.compile(r"(?<![\w])(?:\+|\(\+?|\d)(?:\d|[   ().\-/–‑](?=[\d(])|\)[   \-–‑]?(?=\d)){5,}+")
 _IDS = re.compile(
     r"(?<![\w.])(?:"
     r"\d{3}[- ]\d{2}[- ]\d{4}"
@@ -176,20 +176,25 @@ def _emails(text: str):
 def _numbers(text: str):
     for m in _NUMBER.finditer(text):
         run = m.group(0)
-        # A run may hold more than the number: it is offered up to each gap.
-        ends = [g.end() for g in re.finditer(r"\d+", run)]
-        for end in ends[-3:]:
-            number = run[:end]
-            digits = sum(c.isdigit() for c in number)
-            if not 7 <= digits <= 15 or number.count("(") != number.count(")"):
-                continue
-            yield m.start(), m.start() + end, "phone", [
-                f"shape={_shape(number)}",
-                f"n={digits}",
-                f"start={re.match(r'[+(]*(?:00|0)?', number).group(0)}",
-                f"whole={end == len(run)}",
-                f"seps={''.join(sorted(set(re.sub('[0-9]', '', number))))}",
-            ]
+        # A run may hold more than the number: it is offered from and up to each gap.
+        groups = [(g.start(), g.end()) for g in re.finditer(r"\(?\d+", run)]
+        for i, (begin, _) in enumerate(groups):
+            begin = begin if i else 0
+            digits = 0
+            for at, end in groups[i:]:
+                digits += end - at - (run[at] == "(")
+                if digits > 15:
+                    break
+                number = run[begin:end]
+                if digits < 7 or number.count("(") != number.count(")"):
+                    continue
+                yield m.start() + begin, m.start() + end, "phone", [
+                    f"shape={_shape(number)}",
+                    f"n={digits}",
+                    f"start={re.match(r'[+(]*(?:00|0)?', number).group(0)}",
+                    f"whole={end == len(run)}",
+                    f"seps={''.join(sorted(set(re.sub('[0-9]', '', number))))}",
+                ]
     for m in _IDS.finditer(text):
         value = m.group(0)
         yield m.start(), m.end(), "id_number", [f"shape={_shape(value)}", f"n={sum(c.isdigit() for c in value)}", f"letters={bool(re.search('[A-Z]', value))}"]

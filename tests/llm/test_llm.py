@@ -334,6 +334,15 @@ def test_single_sentences(model, text, expected):
     assert [(s.kind, text[s.start : s.end]) for s in pii.find_spans(text, weights, given)] == expected
 
 
+@pytest.mark.parametrize(
+    "text", ["Tel.: 030 1234567 2024-05-01", "2024-05-01 030 1234567", "Tel.: 2024-05-01 030 1234567", "2024-05-01 2024-05-02 2024-05-03 030 1234567"]
+)
+def test_phone_beside_dates(model, text):
+    weights, given = model
+    assert "030 1234567" in {text[s.start : s.end] for s in pii.candidates(text, given) if s.kind == "phone"}
+    assert [text[s.start : s.end] for s in pii.find_spans(text, weights, given)] == ["030 1234567"]
+
+
 def test_marginals_against_brute_force(model):
     weights, given = model
     text = "cc Anna Lindqvist-Berg, Tom. Call 07700 900385 or 030/23125-591"
