@@ -347,8 +347,8 @@ def _names(text: str, given: frozenset[str], mailboxes: frozenset[str]):
                 yield run[i][0], end, "name", features
 
 
-_LOWER_PAIR = re.compile(r"(?<![\w./@`'-])([^\W\d_]{3,}(?:-[^\W\d_]{3,})?)[  ]((?:[^\W\d_]\. |(?:van der|von|van|de la|de|di|du|del) |mac|mc|o['’])?[^\W\d_]{5,}(?:-[^\W\d_]{4,})*)(?![\w/@_(]|\.\w)")
-_LOWER_FIRST = re.compile(r"(?<![\w./@`'-])([^\W\d_]{5,}(?:-[^\W\d_]{4,})*), ([^\W\d_]{3,})(?![\w/@_(]|\.\w)")
+_LOWER_PAIR = re.compile(r"(?<![\w./@`'-])([^\W\d_]{2,}(?:-[^\W\d_]{2,})?)[  ]((?:[^\W\d_]\. |(?:van der|von|van|de la|de|di|du|del) |mac|mc|o['’])?[^\W\d_]{2,}(?:-[^\W\d_]{2,})*)(?![\w/@_(]|\.\w)")
+_LOWER_FIRST = re.compile(r"(?<![\w./@`'-])([^\W\d_]{2,}(?:-[^\W\d_]{2,})*), ([^\W\d_]{2,})(?![\w/@_(]|\.\w)")
 
 
 def _lower_names(text: str, given: frozenset[str], mailboxes: frozenset[str]):

@@ -343,6 +343,16 @@ def test_phone_beside_dates(model, text):
     assert [text[s.start : s.end] for s in pii.find_spans(text, weights, given)] == ["030 1234567"]
 
 
+def test_short_lower_case_names(model):
+    weights, given = model
+    for name in ("anna beck", "clara ruiz", "li, anna"):
+        text = f"ask {name} about it"
+        assert name in {text[s.start : s.end] for s in pii.candidates(text, given)}
+    assert [(s.kind, s.start, s.end) for s in pii.find_spans("ask anna beck about it", weights, given)] == [("name", 4, 13)]
+    for text in ("anna has no time", "clara may run"):
+        assert pii.find_spans(text, weights, given) == []
+
+
 def test_marginals_against_brute_force(model):
     weights, given = model
     text = "cc Anna Lindqvist-Berg, Tom. Call 07700 900385 or 030/23125-591"
