@@ -135,6 +135,11 @@ _PARTS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _DATA_LINE = re.compile(
     r"""[\s\[\]{}(),;:]*+(?:(?>[+\-]?0[xX][0-9a-fA-F]++|[+\-]?\d[\d_.]*+(?:[eE][+\-]?\d++)?|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|true|false|null|None|nil)(?:[\s\[\]{}(),;:]++|$))++$"""
 )
+#: A name, perhaps with its type, that long rows of literals are assigned to.
+_ASSIGNED = re.compile(r"\s*+[A-Za-z_$][\w\s$.:<>\[\];&*,'-]{0,200}=\s*(?:new\s+)?[\w.:!&]{0,80}(?:\[\w*\])?\s*(?=[\[{(])")
+_VALUE = re.compile(r"""[+\-]?\d[\w.]*+|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|true|false|null|None|nil""")
+#: So many values on a line count as a line of data each, and make an assignment one.
+ROW_VALUES = 16
 _BLOB = re.compile(r"""["'`][A-Za-z0-9+/=_\\x-]{160,}["'`]""")
 _OWN = re.compile(r"part of (\w+) itself")
 _LIBRARY = (
@@ -189,6 +194,17 @@ def repetition(content: str) -> float:
     return min(share, 1.0) if len(functions) >= 5 or share >= 1 else 0.0
 
 
+def _values(line: str) -> int:
+    """Literals on a line of nothing else, 0 on others; long rows may be assigned to a name."""
+    if _DATA_LINE.match(line):
+        return max(1, len(_VALUE.findall(line)))
+    head = _ASSIGNED.match(line) if len(line) >= 160 else None
+    if not head or not _DATA_LINE.match(line[head.end() :]):
+        return 0
+    values = len(_VALUE.findall(line[head.end() :]))
+    return values if values >= ROW_VALUES else 0
+
+
 def _shape(lines: list[str], comments: list[str | None]) -> tuple[float, float]:
     """Shares of a file's code, by length, that is minified and that is data."""
     total = dense = data = data_lines = 0
@@ -199,9 +215,9 @@ def _shape(lines: list[str], comments: list[str | None]) -> tuple[float, float]:
         total += n
         if n >= 160 and sum(map(line.count, " \t")) < 0.12 * n and sum(map(line.count, "(){};=,.")) > 0.1 * n:
             dense += n
-        if n >= 2 and any(c.isdigit() or c in "\"'" for c in line) and _DATA_LINE.match(line):
+        if n >= 2 and any(c.isdigit() or c in "\"'" for c in line) and (values := _values(line)):
             data += n
-            data_lines += 1
+            data_lines += max(1, values // ROW_VALUES)
         elif n >= 160:
             blobs = sum(len(m.group(0)) for m in _BLOB.finditer(line))
             data += blobs

@@ -175,6 +175,23 @@ def test_rare_pairs_of_a_component_with_a_third_of_the_postings(spark):
     assert got == {("big", "x", 2), ("big", "y", 2), ("x", "y", 2)}
 
 
+# --- 1: files nobody wrote ---------------------------------------------------------------
+
+
+def shape(content):
+    lines = content.split("\n")
+    return handwritten._shape(lines, [None] * len(lines))[1]
+
+
+def test_long_rows_of_data():
+    row = ", ".join(str(i * 37 % 10007) for i in range(2000))
+    assert shape("\n".join([row + ","] * 10)) == 1.0
+    for head in ("const X = [", "static const int X[2000] = {", "let x: Vec<i32> = vec![", "X = np.array(["):
+        assert shape(f"{head}{row}" + {"{": "};", "(": "])"}.get(head[-1], "])" if "(" in head else "];")) == 1.0
+    assert shape("\n".join(f"const LIMIT_{i} = {i};" for i in range(40))) == 0.0
+    assert shape('MESSAGE = ("' + "a long sentence, and on " * 20 + '")') == 0.0
+
+
 # --- 7: containers ----------------------------------------------------------------------
 
 
