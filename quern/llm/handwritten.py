@@ -122,7 +122,7 @@ MINIFIED_PATHS = r"(?:[.\-](?:min|prod|bundle)|\.[0-9a-f]{8})\.(?:js|css|mjs)$|(
 _COMMENT = re.compile(r"\s*+(?://++[/!]?|#++(?!\s*(?:include|define|if|ifdef|ifndef|endif|pragma|undef|else|elif)\b)|/\*++!?|\*++(?!/)|--+|;++|<!--)")
 _FUNCTION = re.compile(
     r"(?:\b(?:fn|func|function|def|sub|fun)\s+|^(?:static\s+|inline\s+|const\s+|extern\s+)*(?:unsigned\s+)?(?:int|void|double|char|long|short|float|bool|size_t|auto|u?int\d+_t)\s+\**)"
-    r"([A-Za-z_]\w*)\s*\(([^)]{0,400})\)",
+    r"([A-Za-z_]\w*)\s*\(",
     re.M,
 )
 _DEFINED = re.compile(
@@ -172,6 +172,17 @@ def _parts(name: str) -> list[str]:
     return [p.lower() for p in _PARTS.findall(name)]
 
 
+def _functions(content: str):
+    """(name, parameters) of a text's functions; parameters run to the first closing bracket, however far."""
+    at = 0
+    while m := _FUNCTION.search(content, at):
+        end = content.find(")", m.end())
+        if end < 0:
+            return
+        yield m.group(1), content[m.end() : end]
+        at = end + 1
+
+
 def repetition(content: str) -> float:
     """Share of a file's functions that follow one pattern, 0..1.
 
@@ -179,7 +190,7 @@ def repetition(content: str) -> float:
     differ in one part only and the parameters are the same. Fewer than five
     functions show no pattern, unless all of four do.
     """
-    functions = _FUNCTION.findall(content)
+    functions = list(_functions(content))
     if len(functions) < 4:
         return 0.0
     names = [_parts(name) for name, _ in functions]

@@ -192,6 +192,13 @@ def test_long_rows_of_data():
     assert shape('MESSAGE = ("' + "a long sentence, and on " * 20 + '")') == 0.0
 
 
+def test_repetition_with_long_parameters():
+    parameters = ", ".join(f"parameter_{i}: i64" for i in range(40))
+    assert len(parameters) > 400
+    assert handwritten.repetition("\n".join(f"fn call_{i}({parameters}) {{\n    run({i});\n}}" for i in range(1, 9))) == 1.0
+    assert handwritten.repetition("fn a(" * 40_000) == handwritten.repetition("fn a(" * 40_000 + ")") == 0.0
+
+
 # --- 7: containers ----------------------------------------------------------------------
 
 
