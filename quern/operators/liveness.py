@@ -17,6 +17,8 @@ from quern.session import cut
 #: Larger files are not searched for mentions inside them (a rule of the data model).
 SCAN_LIMIT = 512_000
 _WORD = "([A-Za-z0-9_]+)"
+#: Characters of names, and those operators are made of.
+_LETTER, _SIGN = r"[\p{L}\p{M}\p{N}_$]", r"[-=<>!+*/%&|^~?@]"
 
 
 def is_seed(files: tuple[str, ...] = (), names: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> Column:
@@ -73,6 +75,34 @@ def _mentions(candidates: DataFrame, files: DataFrame, shown: DataFrame) -> tupl
     return out_plain.unionByName(out_odd), inside.select("id").distinct()
 
 
+def _symbol_mentions(candidates: DataFrame, files: DataFrame, shown: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """_mentions of names without an ASCII word character, such as operators, $ and names in other scripts.
+
+    They are contained in a line as they stand, with no neighbour that would
+    make another name of them: a sign of operators beside such a sign, a letter
+    or digit beside a letter. Distinct names are matched, by their first
+    character, and joined back to the candidates.
+    """
+    none = candidates.select("id").limit(0)
+    wanted = candidates.where((F.trim("name") != "") & ~F.col("name").rlike(_WORD))
+    # Whether there is any such name is one boolean.
+    if wanted.isEmpty():
+        return none, none
+    edge = lambda c: F.when(c.rlike(_LETTER), F.lit(_LETTER)).when(c.rlike(_SIGN), F.lit(_SIGN))
+    name = F.trim("name")
+    left, right = edge(F.substring(name, 1, 1)), edge(F.right(name, F.lit(1)))
+    bound = lambda opening, c: F.coalesce(F.concat(F.lit(opening), c, F.lit(")")), F.lit(""))
+    quoted = F.regexp_replace(name, r"([^\p{L}\p{M}\p{N}\s])", r"\\$1")
+    names = wanted.select(F.col("name"), F.substring(name, 1, 1).alias("sign"), F.concat(bound("(?<!", left), quoted, bound("(?!", right)).alias("rx")).distinct()
+    rows = files.select(F.col("path"), F.octet_length("content").alias("bytes"), F.posexplode(lines("content")).alias("at", "line"))
+    spoken = rows.select("*", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"([^A-Za-z0-9_\s])"), 1))).alias("sign"))
+    hits = cut(spoken.join(names, "sign").where(F.regexp("line", F.col("rx"))).select("path", "bytes", "at", "name"))
+    outside = wanted.join(hits.join(shown, "path", "left_semi").select("name").distinct(), "name", "left_semi").select("id")
+    inside = wanted.join(hits.withColumnRenamed("path", "file"), ["file", "name"])
+    inside = inside.where((F.col("bytes") <= SCAN_LIMIT) & ~(F.col("at") + 1).between(F.col("start_line"), F.col("end_line")))
+    return outside, inside.select("id").distinct()
+
+
 def liveness(
     components: DataFrame,
     edges: DataFrame,
@@ -113,6 +143,8 @@ def liveness(
     candidates = facts.where("candidate")
     shown = facts.where("NOT candidate").select(F.col("file").alias("path")).distinct()
     outside, inside = _mentions(candidates, files, shown)
+    more_outside, more_inside = _symbol_mentions(candidates, files, shown)
+    outside, inside = outside.unionByName(more_outside), inside.unionByName(more_inside)
     kept = A.applies(candidates.select(components.columns), annotations.where(A.keeps("tags"))).select("id").distinct()
     there = files.select(F.col("path").alias("file"), (F.octet_length("content") > SCAN_LIMIT).alias("large"))
     flag = lambda df, name: df.select("id").distinct().withColumn(name, F.lit(True))
@@ -122,7 +154,7 @@ def liveness(
         .join(flag(inside, "inside"), "id", "left")
         .join(flag(kept, "kept"), "id", "left")
     )
-    searched = (F.col("name") != "") & F.col("large").isNotNull()
+    searched = (F.trim("name") != "") & F.col("large").isNotNull()
     rescued = F.col("outside") | F.col("inside")
     status = (
         F.when(~F.col("candidate") | F.coalesce(rescued, F.lit(False)) | F.coalesce("kept", F.lit(False)), "alive")

@@ -335,6 +335,13 @@ def test_liveness(spark):
     assert live(spark, seeds=False)["fn-b"][0] == "alive"  # no seed: the largest island
 
 
+def test_liveness_of_names_without_words(spark):
+    for name, use, other in (("==", "if a==b", "a === b"), ("$", "$(x)", "$$ x"), ("数据", "x.数据()", "数据库")):
+        assert live(spark, name_f=name, m=f"{use}\n")["fn-f"] == ("alive", [])
+        assert live(spark, name_f=name, m=f"{other}\n")["fn-f"][0] == "definitely_dead"
+    assert live(spark, name_f="==", f="a == b\n")["fn-f"] == ("alive", [])
+
+
 @pytest.mark.parametrize("seconds,text", [(1.5, "1.50s"), (59.99, "59.99s"), (60.0, "1m 0.00s"), (123.25, "2m 3.25s")])
 def test_duration(spark, seconds, text):
     assert one(spark, T.duration, seconds) == text
