@@ -682,25 +682,47 @@ def indexed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- extraction --------------------------------------------------------------------------
 
 
-def _declared_sql(language: str, kind: str, pattern: str, group: int = 1, value: str | None = None) -> str:
-    name = value or "trim(n)"
-    return f"SELECT path, '{kind}' AS \"type\", {name} AS name FROM (SELECT path, unnest(regexp_extract_all(content, '(?m){pattern}', {group})) AS n FROM files WHERE language = '{language}')"
-
-
-_SIMPLE = [
-    (language, kind, pattern.replace("'", "''"))
-    for language in ("rust", "python", "go")
-    for kind, pattern in X.DECLARATIONS[language]
-    if kind not in ("from", "type", "impl")
-]
-
-
-@query(f"WITH {B.FILES} SELECT DISTINCT * FROM ({' UNION ALL '.join(_declared_sql(*x) for x in _SIMPLE)})")
+#: Declarations as the test tables write them, a line each, told by their words; the engine reads them by its grammars.
+_DECLARED = f"""rows_ AS (SELECT path, language, unnest(x) AS line, generate_subscripts(x, 1) AS nr FROM (
+    SELECT path, language, string_split(replace(content, chr(13), ''), chr(10)) AS x FROM files)),
+before AS (SELECT *, trim(coalesce(lag(line) OVER (PARTITION BY path ORDER BY nr), 'x')) = '' AS after_blank FROM rows_),
+words AS (SELECT *, [x FOR x IN string_split_regex(trim(line), '\\s+') IF x <> '' AND NOT (starts_with(x, 'pub(') AND language = 'rust')
+    AND x NOT IN ('export', 'default', 'async', 'pub', 'static', 'public', 'private', 'final', 'override')] AS w,
+    contains(trim(line), 'export') AS exported FROM before),
+named AS (SELECT *, w[1] AS word, regexp_extract(coalesce(w[2], ''), '^[A-Za-z_$][A-Za-z0-9_$]*') AS name, coalesce(array_to_string(w[2:], ' '), '') AS rest FROM words),
+kinds(language, word, sign) AS (VALUES
+    ('rust', 'struct', ''), ('rust', 'enum', ''), ('rust', 'trait', ''), ('rust', 'fn', ''), ('rust', 'mod', ''),
+    ('javascript', 'class', ''), ('javascript', 'function', ''), ('javascript', 'const', '='), ('javascript', 'let', '='), ('javascript', 'var', '='),
+    ('typescript', 'class', ''), ('typescript', 'function', ''), ('typescript', 'const', '='), ('typescript', 'let', '='), ('typescript', 'var', '='),
+    ('typescript', 'interface', ''), ('typescript', 'type', '='), ('python', 'class', ''), ('python', 'def', ''), ('go', 'const', ''), ('go', 'var', ''),
+    ('swift', 'struct', ''), ('swift', 'class', ''), ('swift', 'enum', ''), ('swift', 'protocol', ''), ('swift', 'func', '('), ('swift', 'import', ''),
+    ('zig', 'fn', ''), ('zig', 'var', ''), ('c', 'struct', ''), ('c', 'enum', ''), ('c', '#define', ''), ('cpp', 'struct', ''), ('cpp', 'enum', ''),
+    ('cpp', 'class', ''), ('cpp', 'namespace', ''), ('cpp', '#define', '')),
+plain AS (SELECT path, ltrim(word, '#') AS "type", name FROM named JOIN kinds USING (language, word)
+    WHERE name <> '' AND (sign = '' OR starts_with(ltrim(substr(rest, len(name) + 1)), sign) OR (sign = '=' AND language IN ('zig') AND contains(rest, ':')))),
+types AS (SELECT path, x AS "type", name FROM (SELECT *, unnest(CASE
+    WHEN language = 'go' AND word = 'type' AND w[3] IN ('struct', 'interface') THEN CASE WHEN after_blank THEN [w[3], 'type'] ELSE [w[3]] END
+    WHEN language = 'go' AND word = 'type' AND w[3] IS NOT NULL THEN ['type']
+    WHEN language = 'zig' AND word = 'const' AND w[4] IN ('struct', 'enum', 'union') THEN [w[4]]
+    WHEN language = 'zig' AND word = 'const' AND starts_with(coalesce(w[4], ''), '@import(') THEN ['import'] ELSE [] END) AS x FROM named)),
+consts AS (SELECT path, 'const' AS "type", name FROM named n WHERE language = 'zig' AND word = 'const' AND NOT EXISTS (SELECT 1 FROM types t WHERE t.path = n.path AND t.name = n.name)),
+methods AS (SELECT path, 'func' AS "type", regexp_extract(regexp_replace(rest, '^\\([^)]*\\) *', ''), '^[A-Za-z_][A-Za-z0-9_]*') AS name FROM named WHERE language = 'go' AND word = 'func'),
+imports AS (
+    SELECT path, 'use' AS "type", rtrim(rest, '; ') AS name FROM named WHERE language = 'rust' AND word = 'use' AND ends_with(rest, ';')
+    UNION ALL SELECT path, 'import', trim(split_part(rest, '#', 1)) FROM named WHERE language = 'python' AND word = 'import'
+    UNION ALL SELECT path, 'from', w[2] || ' -> ' || trim(split_part(array_to_string(w[4:], ' '), '#', 1)) FROM named WHERE language = 'python' AND word = 'from' AND w[3] = 'import'
+    UNION ALL SELECT path, 'include', w[2] FROM named WHERE language IN ('c', 'cpp') AND word = '#include'),
+bodies AS (SELECT path, 'fn' AS "type", regexp_extract(rtrim(split_part(line, '(', 1)), '([A-Za-z_][A-Za-z0-9_]*)$', 1) AS name FROM named
+    WHERE language IN ('c', 'cpp') AND regexp_matches(line, '^[A-Za-z_]') AND ends_with(rtrim(line), '{{') AND contains(rtrim(split_part(line, '(', 1)), ' ') AND contains(line, '('))"""
+
+
+@query(
+    f"""WITH {B.FILES}, {_DECLARED} SELECT DISTINCT * FROM (SELECT * FROM plain UNION ALL SELECT * FROM types UNION ALL SELECT * FROM consts
+    UNION ALL SELECT * FROM methods UNION ALL SELECT * FROM imports UNION ALL SELECT * FROM bodies)"""
+)
 def declared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names declared in Rust, Python and Go files, by the kinds one pattern finds."""
-    rows = X.raw_components(B.files(spark, sf_dir)).where(F.col("language").isin("rust", "python", "go") & ~F.col("type").isin("from", "impl"))
-    rows = rows.where(~((F.col("language") == "go") & (F.col("type") == "type")))
-    return rows.select(F.col("file").alias("path"), "type", "name").distinct()
+    """Every kind and name declared in each file, in all languages."""
+    return X.raw_components(B.files(spark, sf_dir)).select(F.col("file").alias("path"), "type", "name").distinct()
 
 
 @query()
@@ -717,25 +739,7 @@ def extracted_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids computed anew for the components of the index, by the engine's own rule."""
     rows = B.components(spark, sf_dir).withColumnRenamed("id", "known_as").withColumn("offset", F.col("start_line"))
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("file", "type", "name")
-    ordinal = F.row_number().over(same.orderBy("offset", "start_line", "end_line", "known_as")) - 1
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("ordinal", ordinal)
-    text = F.concat_ws("|", "language", "type", "name", "file", F.when(F.col("_n") > 1, F.col("ordinal").cast("string")))
-    return rows.select("known_as", F.concat(T.type_prefix("type"), F.lit("-"), F.substring(F.sha2(text, 256), 1, 16)).alias("id"))
-
-
-@query(
-    f"""WITH {B.COMPS}, s AS (SELECT id, file, start_line, end_line AS detected_end, lead(start_line) OVER (PARTITION BY file ORDER BY start_line, id) - 1 AS bound FROM comps)
-    SELECT id, greatest(start_line, least(detected_end, coalesce(bound, 100000))) AS end_line FROM s"""
-)
-def clamped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of the index clamped so that each ends before the next begins."""
-    rows = B.components(spark, sf_dir).select(
-        "id", "file", "start_line", F.col("end_line").alias("detected_end"), F.col("start_line").alias("offset"), F.col("id").alias("type"), F.lit(100000).alias("file_lines")
-    )
-    return X.clamped_spans(rows).select("id", "end_line")
+    return X.with_ids(rows, ("offset", "start_line", "end_line", "known_as")).select("known_as", "id")
 
 
 # --- graph -------------------------------------------------------------------------------

@@ -55,6 +55,89 @@ def test_declarations(language, content, expected):
     assert pairs(language, content) == expected
 
 
+@pytest.mark.parametrize(
+    "language,content,expected",
+    [
+        ("rust", "pub mod utils;\nmod internal;\n\nuse std::a::{\n    b,\n    c,\n};\nimpl<T> Drawable for W<T> {\n    fn draw(&self) {}\n}\npub(crate) struct Hidden;\nimplement this\nimpl {\n",
+         [("mod", "utils"), ("mod", "internal"), ("use", "std::a::{\n    b,\n    c,\n}"), ("impl", "Drawable for W<T>"), ("fn", "draw")]),
+        ("javascript", "export default class A extends B {}\nconst f = () => 1;\nlet g;\nfunction* gen() {}\nconst $x = 2;\nexport {\n  f as default,\n  $x\n}\n",
+         [("class", "A"), ("const", "f"), ("const", "$x"), ("export", "f"), ("export", "$x")]),
+        ("typescript", "export type Id = string;\ntype Cb = (e: Error) => void;\nconst typed: number = 3;\nabstract class Q {}\n", [("type", "Id"), ("type", "Cb")]),
+        ("python", "import os, sys\nfrom . import x\nfrom typing import (\n    List,\n)\nclass A(B): pass\nclassy = 1\ndef na\u00efve(): pass\nasync  def g(): pass\nimport   # nothing\n",
+         [("import", "os, sys"), ("from", ". -> x"), ("from", "typing -> ("), ("class", "A"), ("async def", "g")]),
+        ("go", "type S struct {\n}\n\ntype H interface {\n}\nfunc (s *S) Start() error {\nfunc Map[T any](x T) {}\ntype C func(error)\nconst (\n\tA = 1\n)\nfuncs()\n",
+         [("struct", "S"), ("interface", "H"), ("type", "H"), ("func", "Start"), ("type", "C")]),
+        ("swift", "@testable import XCTest\n@_exported import struct Foundation.URL\nindirect enum E {}\n@objc extension NSObject {\n    subscript(key: String) -> Any? { nil }\n}\nstruct P {\n    static func == (l: P, r: P) -> Bool { true }\n    static func += (l: inout P, r: P) {}\n    static func ..< (l: P, r: P) -> Bool { true }\n    func + (o: P) -> P { self }\n    class func make() {}\n    required init(a: Int) {}\n    deinit {}\n}\n@available(iOS 13, *)\nfinal public class K {}\n",
+         [("import", "XCTest"), ("import", "Foundation.URL"), ("enum", "E"), ("extension", "NSObject"), ("subscript", "subscript"), ("struct", "P"), ("func", "=="), ("func", "+="), ("func", "..<"),
+          ("func", "+"), ("func", "make"), ("init", "init"), ("deinit", "deinit"), ("class", "K")]),
+        ("zig", "pub const Color = enum {\n};\nconst Payload = extern union {\n};\nexport fn entry() void {\n}\nvar counter: u32 = 0;\nconst Color = 3;\n",
+         [("enum", "Color"), ("union", "Payload"), ("fn", "entry"), ("var", "counter")]),
+        ("c", "#include \"my.h\"\n#  define MIN(a, b) 1\ntypedef struct Node {\n  int x;\n} Node;\ntypedef struct Other Alias;\nstatic unsigned long *find(int a,\n    int b)\n{\n}\nint proto(int);\n  int indented(void) {\n",
+         [("include", '"my.h"'), ("define", "MIN"), ("struct", "Node"), ("struct", "Other"), ("typedef", "Alias"), ("fn", "find")]),
+        ("cpp", "template <class T>\nclass Box {};\ntemplate<typename T> static T first(T a);\nusing namespace std;\nusing V = std::vector<int>;\nstruct S { };\n",
+         [("class", "Box"), ("fn", "first"), ("using", "V"), ("struct", "S")]),
+    ],
+)
+def test_declarations_in_full(language, content, expected):
+    assert pairs(language, content) == expected
+
+
+@pytest.mark.parametrize("language", ["python", "c", "cpp", "javascript", "rust", "swift", "go", "zig", "typescript"])
+def test_extraction_is_linear(language):
+    import time
+
+    texts = [
+        "".join(f"def f{i}(a):\n    return a\n\n" for i in range(80_000))[:2_000_000],
+        "words of prose without any punctuation at all\n" * 43_000,
+        "const a=1;function f(){return 1};" * 61_000,
+        "public\n@a\npub\nexport\ntemplate<>\ntypedef\nuse x\nexport {\nfunc (\n#include <\n" * 30_000,
+        "\n" * 2_000_000,
+    ]
+    for text in texts:
+        began = time.process_time()
+        X.extract(language, text)
+        assert time.process_time() - began < 5
+
+
+def test_spans_against_brute_force():
+    import random
+
+    def brute(text, start):
+        depth, quote, at = 0, "", start
+        while at < len(text):
+            c = text[at]
+            if quote:
+                at += c == "\\"
+                quote = "" if c == quote else quote
+            elif text[at : at + 2] == "//":
+                at = text.find("\n", at) if "\n" in text[at:] else len(text)
+            elif text[at : at + 2] == "/*":
+                at = text.find("*/", at + 2) + 1 if "*/" in text[at + 2 :] else len(text)
+            elif c in "\"'`":
+                quote = c
+            elif c == "{":
+                depth += 1
+            elif c == "}" and depth:
+                depth -= 1
+                if not depth:
+                    return text.count("\n", 0, at) + 1
+            elif c == ";" and not depth:
+                return text.count("\n", 0, at) + 1
+            at += 1
+        return None
+
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice(["fn a() ", "struct B ", "{", "}", ";", "\n", "\n", '"', "'", "// x", "/* y", "*/", "\\", " z "]) for _ in range(r.randint(1, 60)))
+        rows = X.extract("rust", text)
+        offsets = sorted({(o, k, n) for o, k, n in X.declared("rust", text)})
+        for i, (offset, kind, name) in enumerate(offsets):
+            first = text.count("\n", 0, offset) + 1
+            bound = text.count("\n", 0, offsets[i + 1][0]) if i + 1 < len(offsets) else text.count("\n") + 1
+            end = brute(text, offset)
+            assert (kind, name, first, max(first, min(bound if end is None else end, bound))) in {(k, n, a, b) for k, n, _, a, b, *_ in rows}
+
+
 def test_spans_and_nesting():
     text = "fn outer() {\n    let s = \"}\"; // }\n    fn inner() {}\n}\nfn last() {\n"
     rows = [(n, a, b, p) for _, n, _, a, b, _, p in X.extract("rust", text)]
