@@ -265,6 +265,41 @@ def test_plan_reaches_a_known_optimum():
     assert plan.bins == 50
 
 
+@pytest.mark.parametrize(
+    "name,histogram,capacity,gap",
+    [
+        ("uneven", {1000: 10**8, 30: 10**3, 700: 10**4}, 2048, 1.01),
+        ("even", {i: 10**5 for i in range(1, 2048)}, 2048, 1.03),
+        ("skewed", {i: 10**6 // i for i in range(1, 512)}, 512, 1.02),
+        ("tiny", {1: 10**9, 2: 10**3, 500: 5}, 512, 1.01),
+        ("one", {7: 3}, 512, 3.0),
+    ],
+)
+def test_plan_closes_the_gap_whatever_the_counts(monkeypatch, name, histogram, capacity, gap):
+    import time
+
+    handed = []
+    best_fit = packing._best_fit
+    monkeypatch.setattr(packing, "_best_fit", lambda rest, lengths, c: handed.append(int((rest * lengths).sum())) or best_fit(rest, lengths, c))
+    for factor in (1, 1000):
+        began = time.process_time()
+        plan = packing.plan_containers({k: n * factor for k, n in histogram.items()}, capacity)
+        assert time.process_time() - began < 20
+        placed = sum((uses * k for uses, k in plan.configurations), np.zeros(len(plan.ends), dtype=np.int64))
+        assert placed.sum() == factor * sum(histogram.values())
+        assert all((uses * plan.ends).sum() <= capacity for uses, _ in plan.configurations)
+        assert plan.bins <= gap * max(plan.bound, 1) + 8
+        # Best fit gets less than eight containers' worth, and places it class by class.
+        assert all(size < 8 * capacity for size in handed)
+
+
+def test_best_fit_works_by_class():
+    rest, lengths = np.array([10**9, 10**8, 3]), np.array([3, 50, 90])
+    plan = packing._best_fit(rest.copy(), lengths, 100)
+    assert (sum(uses * k for uses, k in plan) == rest).all() and all((uses * lengths).sum() <= 100 for uses, _ in plan)
+    assert sum(k for _, k in plan) <= 1.03 * (rest * lengths).sum() / 100 + 3
+
+
 def test_token_counts(spark):
     texts = [("a", "Hello world"), ("b", ""), ("c", None), ("d", "<|endoftext|> é\n" * 3), ("e", "x" * 200_000)]
     got = {r["id"]: r["n_tokens"] for r in tokens.with_token_counts(spark.createDataFrame(texts, "id string, text string")).collect()}
