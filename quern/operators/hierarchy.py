@@ -28,19 +28,23 @@ SCHEMA = (
 )
 
 
+def catalog_entries(catalog: DataFrame) -> DataFrame:
+    """(path, parent) of a link catalog: one row per path.
+
+    Paths and parents are cleaned; rows without a path are no entries. Of
+    several parents given for one path the least holds.
+    """
+    rows = catalog.select(topic_path("path").alias("path"), topic_path("parent_path").alias("parent"))
+    return rows.where("path IS NOT NULL").groupBy("path").agg(F.min("parent").alias("parent"))
+
+
 def catalog_nodes(catalog: DataFrame) -> DataFrame:
     """(path, parent, is_entry) of a link catalog: one row per path.
 
-    Paths and parents are cleaned; rows without a path are no entries. Of
-    several parents given for one path the least holds. A parent without an
-    entry becomes a node with is_entry false, the root of what names it.
+    A parent without an entry becomes a node with is_entry false, the root of
+    what names it.
     """
-    entries = (
-        catalog.select(topic_path("path").alias("path"), topic_path("parent_path").alias("parent"))
-        .where("path IS NOT NULL")
-        .groupBy("path")
-        .agg(F.min("parent").alias("parent"))
-    )
+    entries = catalog_entries(catalog)
     named = entries.select(F.col("parent").alias("path")).where("path IS NOT NULL").distinct()
     missing = named.join(entries, "path", "left_anti")
     return entries.withColumn("is_entry", F.lit(True)).unionByName(
@@ -101,17 +105,46 @@ def separate(nodes: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]
     if not still_open:
         return forest, endless.select("path", F.lit("cycle").alias("status"))
     endless = cut(endless)
-    hit_before, hit = -1, endless.select("up").distinct().count()
-    # What pointers hit shrinks as they reach further, until only the cycles are left.
-    while hit != hit_before:
-        reach = endless.select(F.col("path").alias("up"), F.col("up").alias("up2"))
-        endless = cut(skew_join(endless, reach, "up").select("path", F.col("up2").alias("up")))
-        hit_before, hit = hit, endless.select("up").distinct().count()
-    ring = endless.select(F.col("up").alias("path")).distinct().withColumn("ring", F.lit(True))
+    ring = _rings(endless).withColumn("ring", F.lit(True))
     status = F.when(F.col("ring"), "cycle").otherwise("leads_to_cycle").alias("status")
     return forest, endless.select("path").join(ring, "path", "left").select("path", status)
 
 
+def _further(pointers: DataFrame) -> DataFrame:
+    """Pointers (path, up) that reach twice as far; those that would leave the table are gone."""
+    reach = pointers.select(F.col("path").alias("up"), F.col("up").alias("up2"))
+    return skew_join(pointers, reach, "up", "inner").select("path", F.col("up2").alias("up"))
+
+
+def _rings(endless: DataFrame) -> DataFrame:
+    """(path) of the nodes on cycles, from pointers none of which ever ends.
+
+    What pointers hit shrinks as they reach further, until only the cycles are
+    left: where it stays the same they map it onto itself.
+    """
+    hit_before, hit = -1, endless.select("up").distinct().count()
+    while hit and hit != hit_before:
+        endless = cut(_further(endless))
+        hit_before, hit = hit, endless.select("up").distinct().count()
+    return endless.select(F.col("up").alias("path")).distinct()
+
+
+def cycle_nodes(nodes: DataFrame) -> DataFrame:
+    """(path) of the nodes that are among their own ancestors: the cycle separation of `hierarchy` by itself.
+
+    nodes: (path, parent), one row per path; a parent need not be among the
+    paths. Only pointers that are still open are carried on, so a forest
+    without cycles shrinks to nothing. Empty input gives no rows.
+    """
+    pointers = cut(nodes.where("parent IS NOT NULL").select("path", F.col("parent").alias("up")))
+    open_before, still_open = -1, pointers.count()
+    # Where no pointer ended, none has a depth between two reaches, and so none a greater one.
+    while still_open and still_open != open_before:
+        pointers = cut(_further(pointers))
+        open_before, still_open = still_open, pointers.count()
+    return _rings(pointers)
+
+
 def _chains(tree: DataFrame, heavy: DataFrame) -> DataFrame:
     """(path, head, pos): the chain each node lies on and its place there."""
     state = tree.join(heavy.select(F.col("heavy").alias("path"), F.lit(True).alias("inner")), "path", "left").select(

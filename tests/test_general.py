@@ -117,6 +117,8 @@ def hierarchy_of(spark, parent, links=None):
 def check_hierarchy(spark, parent):
     links = {n: (i + 1, i % 3) for i, n in enumerate(sorted(parent))}
     got, want = hierarchy_of(spark, parent, links), brute(parent)
+    rings = H.cycle_nodes(spark.createDataFrame(list(parent.items()), "path string, parent string"))
+    assert sorted(r["path"] for r in rings.collect()) == sorted(p for p, r in got.items() if r["status"] == "cycle")
     assert set(got) == set(parent)
     tree = [n for n in parent if want[n][0] == "tree"]
     for n in parent:
@@ -153,7 +155,7 @@ def test_hierarchy_random(spark):
 def test_hierarchy_of_nothing(spark):
     nodes = spark.createDataFrame([], "path string, parent string, is_entry boolean")
     counts = spark.createDataFrame([], "path string, links long, members long")
-    assert H.hierarchy(nodes, counts).count() == 0
+    assert H.hierarchy(nodes, counts).count() == 0 and H.cycle_nodes(nodes).count() == 0
 
 
 def test_catalog_nodes(spark):
