@@ -11,7 +11,7 @@ MAX_SPAN characters, so that the dynamic programs for training and decoding
 are linear in the text.
 
 The weights are fitted by conditional likelihood on sentences composed in
-pii_training; fitting takes a few seconds and always gives the same weights.
+pii_training; fitting takes some seconds and always gives the same weights.
 """
 
 from __future__ import annotations
@@ -42,10 +42,17 @@ ROLE_WORDS = frozenset(
     "admin alert alerts all announce billing bot bots bounce build builds ci contact daemon dev devs deploy do errors feedback git "
     "group hello help helpdesk hooks hostmaster info it jenkins jobs legal lint list lists mail mailer marketing moderator nightly "
     "no noc noreply not notifications notify office oncall ops postmaster press releases reply root sales security service "
-    "staff status subscribe support svc sysadmin system team test user webmaster www core index robot cron sync".split()
+    "staff status subscribe support svc abuse backend call donotreply everyone frontend hr monitoring notes on qa web sysadmin system team test user webmaster www core index robot cron sync".split()
 )
 TITLES = frozenset("mr mrs ms miss mx dr prof sir herr herrn frau mme mlle m monsieur madame sr sra srta don doña señor señora dra".split())
 PARTICLES = frozenset("van von der den de del della la le du des di da dos af av zu zur zum ten ter bin el".split())
+#: Words that begin sentences, by language; hardly ever part of a name.
+STARTS = {
+    "en": "A After All An And Any As At Before But By Each Even Every For From He Here How If In It Its Just Last Let Like Many Most My Next No Not Nothing Now Of Off On Once One Only Or Our Since So Some Still That The Then There These They This Those Though To Too Two Under Until We What When Where Which While Who Why With You Your".split(),
+    "de": "Ab Alle Am An Auch Auf Aus Bei Bis Da Damit Das Dass Dem Den Der Des Die Diese Doch Ein Eine Er Es Für Hier Ich Im In Ist Jede Kein Man Mit Nach Nicht Noch Nur Ob Ohne Seit Sie So Über Um Und Unter Vom Von Vor Was Wenn Wer Wie Wir Zu Zum Zur Zwei".split(),
+    "fr": "À Après Au Aucun Avant Avec Ce Ces Cette Comme Dans De Depuis Des Deux Donc Du Elle En Et Il Ils Je La Le Les Leur Mais Même Ni Nos Nous On Où Par Pas Pour Quand Que Qui Rien Sans Se Ses Si Son Sur Tous Tout Un Une Vers Vous".split(),
+    "es": "Al Antes Aquí Así Aunque Bajo Cada Como Con Cuando De Del Desde Donde Dos El Ella En Entre Es Esta Este Hasta Hay La Las Lo Los Más Mi Nada Ni No Nos Para Pero Por Porque Que Quien Se Según Si Sin Sobre Solo Su También Todo Tras Un Una Y Ya".split(),
+}
 STREET_EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Close|Court|Ct|Crescent|Cres|Terrace|Ter|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Gardens|Grove|Row|Walk|Hill|Parkway|Pkwy|Highway|Hwy|Mews|Quay)"
 STREET_DE = r"(?:[Ss]traße|[Ss]trasse|[Ss]tr\.|[Ww]eg|[Pp]latz|[Aa]llee|[Gg]asse|[Bb]ach|[Rr]ing|[Uu]fer|[Dd]amm|[Ss]teig|[Gg]raben|[Mm]arkt|[Hh]of|[Pp]fad|[Cc]haussee)"
 STREET_ES = r"(?:C/|Calle|Avda\.?|Avenida|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Travesía|Carretera|Glorieta)"
@@ -53,9 +60,19 @@ STREET_FR = r"(?:rue|avenue|av\.|place|chemin|boulevard|bd|impasse|allée|quai|c
 
 # --- candidate spans ---------------------------------------------------------------
 
+#: Family names that stand first or last, by custom (fixed values, common ones only).
+_COMMON_FAMILIES = frozenset(
+    "wang li zhang liu chen yang huang zhao wu zhou xu sun ma zhu hu lin guo he gao luo nguyen tran le pham hoang phan vu vo dang bui do ngo kim lee park choi jung kang cho yoon jang lim tanaka suzuki sato watanabe ito yamamoto nakamura kobayashi kato "
+    "singh patel sharma kumar gupta khan ali hassan hussein ahmed rahman silva santos costa garcia lopez martinez gonzalez rodriguez fernandez perez sanchez smith jones brown taylor wilson davies evans thomas roberts johnson walker wright robinson "
+    "müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann martin bernard dubois durand moreau laurent rossi russo ferrari esposito bianchi nowak kowalski novak horvat ivanov petrov yilmaz kaya demir".split()
+)
+_STARTS = frozenset(w for words in STARTS.values() for w in words)
+
 _UP = r"A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽ"
 _CAP = rf"[{_UP}][\w'’]*(?:-[{_UP}][\w'’]*)*"
 _AT = re.compile(r"@|＠|%40|&#64;|[  ]?(?:\[ ?at ?\]|\( ?at ?\)|\{ ?at ?\}|<at>)[  ]?|(?<=[\w])[  ](?:at|AT|arroba)[  ](?=[\w])", re.I)
+_AT_SIGN = re.compile(r"[@＠%&\[({<]")
+_AT_WORDS = tuple(f"{a}{w}{b}" for w in ("at", "AT", "At", "aT", "arroba", "ARROBA", "Arroba") for a in "  " for b in "  ")
 _LOCAL = re.compile(r"[\w.+'’&=~^-]{1,64}$")
 _DOT = r"(?:\.|[  ](?:dot|DOT|punto|punkt|point)[  ]|[  ]?(?:\[ ?(?:dot|\.) ?\]|\( ?(?:dot|\.) ?\)|\{dot\})[  ]?)"
 _DOMAIN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?){{1,6}}", re.I)
@@ -80,7 +97,7 @@ _WORD = re.compile(rf"(?:[OD]['’](?=[{_UP}]))?{_CAP}(?:\.(?=[  ,)\"]|$))?|[a-
 _NL = r"[  ]?\r?\n?[  ]{0,4}"
 _TOWN = rf"{_CAP}(?:[  ](?:{_CAP}|am|an der|upon|sur|de|la)){{0,2}}"
 _EN_CORE = re.compile(
-    rf"(?<![\w./-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|No\.?) \d{{1,4}}[A-Za-z]?,{_NL})?\d{{1,5}}[A-Za-z]? (?:(?:North|South|East|West|N\.|S\.|E\.|W\.) )?{_CAP}(?: {_CAP}){{0,2}}? {STREET_EN}\b"
+    rf"(?<![\w./-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|No\.?) \d{{1,4}}[A-Za-z]?,{_NL})?\d{{1,5}}[A-Za-z]? (?:(?:North|South|East|West|N\.|S\.|E\.|W\.) )?{_CAP}(?: {_CAP}){{0,2}}? {STREET_EN}\b(?: (?:NW|NE|SW|SE)\b)?"
 )
 _EN_UNIT = re.compile(rf",{_NL}(?:Flat|Apt\.?|Apartment|Unit|Suite|#) ?\d{{1,4}}[A-Za-z]?\b")
 _EN_TOWN = re.compile(rf",{_NL}({_TOWN})(?![\w@])")
@@ -118,24 +135,46 @@ def _shape(text: str) -> str:
     return re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[   ]", " ", re.sub(r"[–‑]", "-", re.sub(r"\d", "0", text)))))
 
 
-def _around(text: str, start: int, end: int) -> list[str]:
-    before, after = text[max(0, start - 48) : start], text[end : end + 40]
-    left = re.findall(r"[^\W\d_]+|\d+|[^\s\w]|_|\n", before)[-4:]
-    right = re.findall(r"[^\W\d_]+|\d+|[^\s\w]|_|\n", after)[:3]
+_PIECE = re.compile(r"[^\W\d_]+|\d+|[^\s\w]|_|\n")
+_LETTERS = re.compile(r"[^\W\d_]{2,}")
+
+
+def _left(text: str, start: int) -> list[str]:
+    before = text[max(0, start - 48) : start]
+    left = _PIECE.findall(before)[-4:]
     left = ["0" if w.isdigit() else fold(w) for w in ["^"] * (4 - len(left)) + left]
+    out = [f"l1={left[-1]}", f"l2={left[-2]}", f"l12={left[-2]} {left[-1]}", f"l3={left[-3]}", f"l123={left[-3]} {left[-2]} {left[-1]}"]
+    out += [f"near={w}" for w in sorted({fold(w) for w in _LETTERS.findall(before[-34:])})]
+    touching = before[-1:] if before[-1:] and not before[-1:].isspace() else ""
+    return [*out, f"tl={touching}"]
+
+
+def _right(text: str, end: int) -> list[str]:
+    after = text[end : end + 40]
+    right = _PIECE.findall(after)[:3]
     right = ["0" if w.isdigit() else fold(w) for w in right + ["$"] * (3 - len(right))]
-    out = [f"l1={left[-1]}", f"l2={left[-2]}", f"l12={left[-2]} {left[-1]}", f"l3={left[-3]}", f"l123={left[-3]} {left[-2]} {left[-1]}", f"r1={right[0]}", f"r12={right[0]} {right[1]}"]
-    words = {fold(w) for w in re.findall(r"[^\W\d_]{2,}", before[-34:])}
-    out += [f"near={w}" for w in sorted(words)]
-    out += [f"after={fold(w)}" for w in sorted(set(re.findall(r"[^\W\d_]{2,}", after[:26])))]
-    touching_left = before[-1:] if before[-1:] and not before[-1:].isspace() else ""
-    touching_right = after[:1] if after[:1] and not after[:1].isspace() else ""
-    out += [f"tl={touching_left}", f"tr={touching_right}"]
-    return out
+    touching = after[:1] if after[:1] and not after[:1].isspace() else ""
+    return [f"r1={right[0]}", f"r12={right[0]} {right[1]}", *(f"after={fold(w)}" for w in sorted(set(_LETTERS.findall(after[:26])))), f"tr={touching}"]
+
+
+def _at_marks(text: str):
+    """Every sign or word that may stand for the at-sign, found by its rare first characters."""
+    places = {max(0, m.start() - 1) for m in _AT_SIGN.finditer(text)}
+    for word in _AT_WORDS:
+        at = text.find(word)
+        while at >= 0:
+            places.add(at)
+            at = text.find(word, at + 1)
+    last = 0
+    for place in sorted(places):
+        m = _AT.match(text, place) or _AT.match(text, place + 1)
+        if m and m.start() >= last:
+            last = m.end()
+            yield m
 
 
 def _emails(text: str):
-    for m in _AT.finditer(text):
+    for m in _at_marks(text):
         begin, at_end = m.start(), m.end()
         mark = m.group(0)
         spaced = 0
@@ -164,6 +203,7 @@ def _emails(text: str):
             f"roles={min(len(roles), 2)}",
             f"allroles={bool(parts) and len(roles) == len(parts)}",
             f"parts={min(len(parts), 3)}",
+            f"parts+roles={min(len(parts), 3)},{min(len(roles), 2)}",
             f"digits={any(c.isdigit() for c in name)}",
             f"long={max(map(len, parts), default=0) >= 7}",
             f"first={labels[0]}" if labels[0] in ("lists", "list", "code", "git", "hooks", "bots", "mail", "noreply") else "first=",
@@ -173,7 +213,13 @@ def _emails(text: str):
         yield start, domain.end(), "email", features
 
 
+#: No number has fewer digits, or more than three other signs between two of them.
+_DIGITS = re.compile(r"\d(?:\D{0,3}\d){5}")
+
+
 def _numbers(text: str):
+    if not _DIGITS.search(text):
+        return
     for m in _NUMBER.finditer(text):
         run = m.group(0)
         # A run may hold more than the number: it is offered from and up to each gap.
@@ -200,20 +246,19 @@ def _numbers(text: str):
         yield m.start(), m.end(), "id_number", [f"shape={_shape(value)}", f"n={sum(c.isdigit() for c in value)}", f"letters={bool(re.search('[A-Z]', value))}"]
 
 
-def _tails(text: str, at: int, steps: list[re.Pattern]):
+def _tails(text: str, at: int, steps: list[re.Pattern], taken: tuple[str, ...] = (), step: int = 0):
     """(end, parts taken) of every prefix of optional tails."""
-    taken: list[str] = []
-    yield at, tuple(taken)
-    for i, step in enumerate(steps):
-        m = step.match(text, at)
+    yield at, taken
+    for i in range(step, len(steps)):
+        m = steps[i].match(text, at)
         if m:
-            # A town of several words is also offered without the later ones.
+            # A town of several words is also offered without the later ones, and what may follow it after each.
             town = next((g for g in range(1, (m.lastindex or 0) + 1) if m.group(g)), None)
             cuts = [c.start() for c in re.finditer(r"[  ]", m.group(town))] if town else []
-            yield from ((m.start(town) + c, (*taken, str(i))) for c in cuts)
-            at = m.end()
-            taken.append(str(i) + ("+" if cuts else ""))
-            yield at, tuple(taken)
+            for c in cuts:
+                yield from _tails(text, m.start(town) + c, steps, (*taken, str(i)), i + 1)
+            yield from _tails(text, m.end(), steps, (*taken, str(i) + ("+" if cuts else "")), i + 1)
+            return
 
 
 _ADDRESS = {
@@ -222,17 +267,52 @@ _ADDRESS = {
     "es": (_ES_CORE, [_ES_UNIT, re.compile(f"(?:{_CODE_TOWN.pattern})|(?:{_ONLY_TOWN.pattern})")]),
     "fr": (_FR_CORE, [re.compile(f"(?:{_CODE_TOWN.pattern})|(?:{_ONLY_TOWN.pattern})")]),
 }
-_HINTS = {
-    "en": re.compile(rf" {STREET_EN}\b"),
-    "de": re.compile(rf"{STREET_DE} \d"),
-    "es": re.compile(rf"(?<![\w]){STREET_ES}[  ]"),
-    "fr": re.compile(rf"\d[^\n]{{0,10}} {STREET_FR} "),
-}
+_DIGIT = re.compile(r"\d")
+
+
+def _words_of(pattern: str) -> list[str]:
+    """What a pattern of alternatives, character pairs and optional dots stands for."""
+    words = [""]
+    for part in re.findall(r"\[..\]|\\.\??|.", pattern):
+        if part[0] == "[":
+            words = [w + c for w in words for c in part[1:3]]
+        elif part.endswith("?") and len(part) > 1:
+            words = [*words, *(w + part[1] for w in words)]
+        else:
+            words = [w + part[-1] for w in words]
+    return words
+
+
+@functools.lru_cache(maxsize=1)
+def _street_automaton():
+    """Words that make an address of a language likely: none of its addresses lacks them."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for lang, before, pattern, after in (("en", " ", STREET_EN, ""), ("de", "", STREET_DE, " "), ("es", "", STREET_ES, ""), ("fr", " ", STREET_FR, " ")):
+        for alternative in pattern.removeprefix("(?:").removesuffix(")").split("|"):
+            for word in _words_of(alternative):
+                found.add_word(before + word + after, lang)
+    found.make_automaton()
+    return found
+
+
+def _likely_languages(text: str) -> set[str]:
+    langs = set()
+    for last, lang in _street_automaton().iter(text):
+        if lang in langs:
+            continue
+        following = text[last + 1 : last + 2]
+        if lang == "en" and (following.isalnum() or following == "_") or lang == "de" and not following.isdigit():
+            continue
+        langs.add(lang)
+    return langs
 
 
 def _addresses(text: str):
+    langs = _likely_languages(text) if _DIGIT.search(text) else ()
     for lang, (core, tails) in _ADDRESS.items():
-        if not _HINTS[lang].search(text):
+        if lang not in langs:
             continue
         for m in core.finditer(text):
             starts = [m.start()]
@@ -240,7 +320,7 @@ def _addresses(text: str):
             if text[m.end() : m.end() + 1] == "." and re.search(r"(?:St|Rd|Ave|Blvd|Dr|Ln|Ct|Sq|Pl|Cres|Ter)$", m.group(0)):
                 ends.append(m.end() + 1)
             for core_end in ends:
-                reached = list(_tails(text, core_end, tails))
+                reached = sorted(set(_tails(text, core_end, tails)))
                 for end, taken in reached:
                     if end - m.start() > MAX_SPAN:
                         continue
@@ -260,24 +340,33 @@ def _addresses(text: str):
                     ]
 
 
+_USEFUL = rf"(?>(?:[OD]['’])?[{_UP}][\w'’-]{{0,{MAX_SPAN}}}+(?![\w'’-])\.?+|(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))})(?!\w))"
+#: Two words or more that could belong to a name, one after the other.
+_RUN = re.compile(rf"(?<!\w){_USEFUL}(?>[  ]{{0,2}}+(?>,|{_USEFUL}))++")
+
+
 def _name_tokens(text: str):
     """Runs of words that could belong to a name, as lists of (start, end, word)."""
-    run: list[tuple[int, int, str]] = []
-    for m in _WORD.finditer(text):
-        word = m.group(0)
-        gap = text[run[-1][1] : m.start()] if run else ""
-        joined = gap in ("", " ", " ", "  ") if run else True
-        capital = word[0].isupper() or word[:2] in ("O'", "D'", "O’", "D’")
-        useful = (len(word) > 1 or word.isalpha()) and (capital or fold(word) in PARTICLES) or word == ","
-        if run and (not joined or not useful):
+    for found in _RUN.finditer(text):
+        run: list[tuple[int, int, str]] = []
+        for m in _WORD.finditer(text, found.start()):
+            if m.start() >= found.end():
+                break
+            word = m.group(0)
+            gap = text[run[-1][1] : m.start()] if run else ""
+            joined = gap in ("", " ", " ", "  ") if run else True
+            capital = word[0].isupper() or word[:2] in ("O'", "D'", "O’", "D’")
+            useful = (len(word) > 1 or word.isalpha()) and (capital or fold(word) in PARTICLES) or word == ","
+            if run and (not joined or not useful):
+                yield run
+                run = []
+            if useful and (run or word != ","):
+                run.append((m.start(), m.end(), word))
+        if len(run) > 1:
             yield run
-            run = []
-        if useful and (run or word != ","):
-            run.append((m.start(), m.end(), word))
-    if run:
-        yield run
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _word_kind(word: str) -> str:
     bare = word.rstrip(".")
     if word == ",":
@@ -332,6 +421,9 @@ def _names(text: str, given: frozenset[str], mailboxes: frozenset[str]):
                     f"familygiven={last in given}",
                     f"title={bool(title) and fold(title.group(1)) in TITLES}",
                     f"istitle={fold(words[0].rstrip('.')) in TITLES}",
+                    f"familyfirst={whole in _COMMON_FAMILIES},{fold(words[0]) in _COMMON_FAMILIES}",
+                    f"starts={words[0] in _STARTS},{words[-1] in _STARTS}",
+                    f"inner={any(len(w) > 2 and w[-1] == '.' for w in words[:-1])}",
                     f"suf3={last[-3:]}",
                     f"suf4={last[-4:]}",
                     f"suf5={last[-5:]}",
@@ -351,21 +443,50 @@ _LOWER_PAIR = re.compile(r"(?<![\w./@`'-])([^\W\d_]{2,}(?:-[^\W\d_]{2,})?)[  ]((
 _LOWER_FIRST = re.compile(r"(?<![\w./@`'-])([^\W\d_]{2,}(?:-[^\W\d_]{2,})*), ([^\W\d_]{2,})(?![\w/@_(]|\.\w)")
 
 
+_FAMILY_BEFORE = re.compile(r"(?<![\w./@`'-])[^\W\d_]{2,}(?:-[^\W\d_]{2,})*$")
+#: Accented letters as plain ones, one for one, so that places stay the same.
+_FLAT = {c: ord(x[0]) for c in range(0xC0, 0x180) if (x := unicodedata.normalize("NFKD", chr(c))) and len(x) > 1 and unicodedata.combining(x[1])}
+_FLAT |= {ord(a): ord(b) for a, b in zip("øØłŁđı", "oOlLdi", strict=True)}
+
+
+@functools.lru_cache(maxsize=4)
+def _given_automaton(given: frozenset[str]):
+    """Given names as they begin a name written small, and as they end one after a comma."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for name in given:
+        for after in "  -":
+            found.add_word(name + after, len(name) + 1)
+        found.add_word(f", {name}", 0)
+    found.make_automaton()
+    return found if given else None
+
+
 def _lower_names(text: str, given: frozenset[str], mailboxes: frozenset[str]):
-    """Names written without capitals: only after a given name that is known."""
-    for pattern, first in ((_LOWER_PAIR, 1), (_LOWER_FIRST, 2)):
-        at = 0
-        while m := pattern.search(text, at):
-            at = m.end(1) if first == 1 else m.start() + 1
-            names = fold(m.group(first)).split("-")
-            if not m.group(0).islower() or names[0] not in given:
-                continue
-            last = fold(m.group(3 - first)).split("-")[-1]
-            whole = re.sub("[^a-z]", "", fold(m.group(3 - first)))
-            yield m.start(), m.end(), "name", [
-                "form=lower", f"lowfirst={first}", f"suf3={last[-3:]}", f"suf4={last[-4:]}", f"suf5={last[-5:]}", f"pre3={last[:3]}",
-                f"len={min(len(last), 10)}", f"lowsuf3={last[-3:]}", f"mailbox={len(whole) > 3 and whole in mailboxes}",
-            ]
+    """Names written without capitals: only beside a given name that is known."""
+    automaton = _given_automaton(given)
+    if automaton is None:
+        return
+    found = set()
+    for last, length in automaton.iter(text if text.isascii() else text.translate(_FLAT)):
+        if length:
+            m, first = _LOWER_PAIR.match(text, last + 1 - length), 1
+        else:
+            comma = text.rfind(", ", 0, last + 1)
+            family = _FAMILY_BEFORE.search(text, max(0, comma - MAX_SPAN), comma)
+            m, first = (_LOWER_FIRST.match(text, family.start()), 2) if family else (None, 2)
+        if not m or (m.start(), first) in found:
+            continue
+        found.add((m.start(), first))
+        if not m.group(0).islower() or fold(m.group(first)).split("-")[0] not in given:
+            continue
+        last_name = fold(m.group(3 - first)).split("-")[-1]
+        whole = re.sub("[^a-z]", "", fold(m.group(3 - first)))
+        yield m.start(), m.end(), "name", [
+            "form=lower", f"lowfirst={first}", f"suf3={last_name[-3:]}", f"suf4={last_name[-4:]}", f"suf5={last_name[-5:]}", f"pre3={last_name[:3]}",
+            f"len={min(len(last_name), 10)}", f"lowsuf3={last_name[-3:]}", f"mailbox={len(whole) > 3 and whole in mailboxes}",
+        ]
 
 
 def candidates(text: str, given: frozenset[str]) -> list[Span]:
@@ -378,10 +499,14 @@ def candidates(text: str, given: frozenset[str]) -> list[Span]:
     spans += _names(text, given, mailboxes)
     spans += _lower_names(text, given, mailboxes)
     out = []
+    lefts: dict[int, list[str]] = {}
+    rights: dict[int, list[str]] = {}
     for start, end, kind, features in sorted(spans, key=lambda s: (s[1], s[0], s[2])):
         if end - start <= MAX_SPAN:
-            around = _around(text, start, end)
-            out.append(Span(start, end, kind, tuple(f"{kind}|{f}" for f in (*features, *around, "bias"))))
+            # What stands around a place is looked at once, however many spans begin or end there.
+            left = lefts.get(start) or lefts.setdefault(start, _left(text, start))
+            right = rights.get(end) or rights.setdefault(end, _right(text, end))
+            out.append(Span(start, end, kind, tuple([f"{kind}|{f}" for f in (*features, *left, *right, "bias")])))
     return out
 
 
@@ -392,7 +517,7 @@ def decode(spans: list[Span], weights: dict[str, float]) -> list[Span]:
     """The best segmentation: the non-overlapping spans with the greatest sum of scores."""
     best, chosen, ends = [0.0], [None], [0]
     for span in spans:
-        score = sum(weights.get(f, 0.0) for f in span.features)
+        score = sum([weights[f] for f in span.features if f in weights])
         if score <= 0:
             continue
         at = bisect_right(ends, span.start) - 1
@@ -455,7 +580,7 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset
 
 
 @functools.lru_cache(maxsize=2)
-def trained(given: frozenset[str], examples: int = 9000, seed: int = 5) -> dict[str, float]:
+def trained(given: frozenset[str], examples: int = 12000, seed: int = 5) -> dict[str, float]:
     """Weights fitted on `examples` composed sentences; once per process."""
     from quern.llm.pii_training import compose
 
