@@ -120,6 +120,18 @@ MINIFIED_PATHS = r"(?:[.\-](?:min|prod|bundle)|\.[0-9a-f]{8})\.(?:js|css|mjs)$|(
 # --- patterns of code ------------------------------------------------------------
 
 _COMMENT = re.compile(r"\s*+(?://++[/!]?|#++(?!\s*(?:include|define|if|ifdef|ifndef|endif|pragma|undef|else|elif)\b)|/\*++!?|\*++(?!/)|--+|;++|<!--)")
+_HASH_COMMENT = re.compile(r"\s*+#++")
+_SLASH_COMMENT = re.compile(r"\s*+(?://++[/!]?|/\*++!?|\*++(?!/)|#!)")
+_SHORT = r'"(?:\\.|[^"\\\n])*+["\n]?|' + r"'(?:\\.|[^'\\\n])*+['\n]?"
+_BLOCK = r"//[^\n]*|(?P<c>/\*.*?(?:\*/|\Z))"
+_TRIPLE = r'"""(?:\\.|(?!""").)*+(?:"""|\Z)'
+#: Per kind of source: what begins a comment line, and what is passed over whole: comments (c: of several lines) and strings (m: of several lines).
+_SYNTAX = {
+    "hash": (_HASH_COMMENT, re.compile(rf"#[^\n]*|(?P<m>{_TRIPLE}|{_TRIPLE.replace(chr(34), chr(39))})|{_SHORT}", re.S)),
+    "slash": (_SLASH_COMMENT, re.compile(rf"{_BLOCK}|(?P<m>{_TRIPLE}|R\"(?P<d>[^(\s\"]{{0,16}})\(.*?(?:\)(?P=d)\"|\Z)|`(?:\\.|[^`\\])*+(?:`|\Z))|{_SHORT}", re.S)),
+    "rust": (_SLASH_COMMENT, re.compile(_BLOCK + r'|(?P<m>r(?P<d>#{0,8})".*?(?:"(?P=d)|\Z)|"(?:\\.|[^"\\])*+(?:"|\Z))', re.S)),
+}
+_KIND_OF = {"py": "hash", "pyi": "hash", "rs": "rust"} | dict.fromkeys("js jsx mjs cjs ts tsx go swift zig c h cc cpp cxx hpp hh hxx java kt scala".split(), "slash")
 _FUNCTION = re.compile(
     r"(?:\b(?:fn|func|function|def|sub|fun)\s+|^(?:static\s+|inline\s+|const\s+|extern\s+)*(?:unsigned\s+)?(?:int|void|double|char|long|short|float|bool|size_t|auto|u?int\d+_t)\s+\**)"
     r"([A-Za-z_]\w*)\s*\(",
@@ -138,10 +150,15 @@ _DATA_LINE = re.compile(
 #: A name, perhaps with its type, that long rows of literals are assigned to.
 _ASSIGNED = re.compile(r"\s*+[A-Za-z_$][\w\s$.:<>\[\];&*,'-]{0,200}=\s*(?:new\s+)?[\w.:!&]{0,80}(?:\[\w*\])?\s*(?=[\[{(])")
 _VALUE = re.compile(r"""[+\-]?\d[\w.]*+|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|true|false|null|None|nil""")
-#: So many values on a line count as a line of data each, and make an assignment one.
+#: So many values make an assignment on one line one of data.
 ROW_VALUES = 16
+#: Less than so much code or data shows nothing.
+LEAST_DATA, LEAST_BODY = 240, 60
+#: A file so much of whose functions follow one pattern is generated.
+REPEATED = 0.6
 _BLOB = re.compile(r"""["'`][A-Za-z0-9+/=_\\x-]{160,}["'`]""")
-_OWN = re.compile(r"part of (\w+) itself")
+#: A file's claim to belong to the code base it stands in.
+_OWN = re.compile(r"(?:part of|belongs to|teil von|partie de|parte de)(?: the)? (\w+) (?:itself|selbst|même|mismo)")
 _LIBRARY = (
     re.compile(r"https?://[^\s/]+/(?:[\w.-]+/)*([\w-]+)"),
     re.compile(r"(?:the|by) ([\w-]+) (?:contributors|authors|developers|project|team)\b"),
@@ -216,9 +233,40 @@ def _values(line: str) -> int:
     return values if values >= ROW_VALUES else 0
 
 
+def _comment_lines(path: str, content: str) -> tuple[list[str], list[str | None]]:
+    """A text's lines, and of each that is a comment the comment's text; what stands inside a string is none.
+
+    Strings and comments of several lines are told by the kind of source the
+    path's extension names; of other files every line that begins like a
+    comment in some language is one.
+    """
+    lines = re.split(r"\r\n|\r|\n", content)
+    kind = _KIND_OF.get(path.rsplit(".", 1)[-1].lower())
+    marker, tokens = _SYNTAX[kind] if kind else (_COMMENT, None)
+    inside = bytearray(len(lines))  # 1: begins inside a string, 2: inside a comment
+    if tokens is not None:
+        text = "\n".join(lines)
+        at, line = 0, 0
+        for m in tokens.finditer(text):
+            several = m.lastgroup and "\n" in m.group(0)
+            if several:
+                line += text.count("\n", at, m.start())
+                many = m.group(0).count("\n")
+                inside[line + 1 : line + 1 + many] = bytes([2 if m.groupdict().get("c") else 1]) * many
+                line, at = line + many, m.end()
+    comments: list[str | None] = []
+    for row, state in zip(lines, inside, strict=True):
+        m = None if state == 1 else marker.match(row)
+        if m is None and state != 2:
+            comments.append(None)
+        else:
+            comments.append(row[m.end() if m else 0 :].strip().removesuffix("*/").removesuffix("-->").rstrip())
+    return lines, comments
+
+
 def _shape(lines: list[str], comments: list[str | None]) -> tuple[float, float]:
     """Shares of a file's code, by length, that is minified and that is data."""
-    total = dense = data = data_lines = 0
+    total = dense = data = 0
     for line, comment in zip(lines, comments, strict=True):
         if comment is not None or not line.strip():
             continue
@@ -226,26 +274,18 @@ def _shape(lines: list[str], comments: list[str | None]) -> tuple[float, float]:
         total += n
         if n >= 160 and sum(map(line.count, " \t")) < 0.12 * n and sum(map(line.count, "(){};=,.")) > 0.1 * n:
             dense += n
-        if n >= 2 and any(c.isdigit() or c in "\"'" for c in line) and (values := _values(line)):
+        if n >= 2 and any(c.isdigit() or c in "\"'" for c in line) and _values(line):
             data += n
-            data_lines += max(1, values // ROW_VALUES)
         elif n >= 160:
-            blobs = sum(len(m.group(0)) for m in _BLOB.finditer(line))
-            data += blobs
-            data_lines += blobs // 80
+            data += sum(len(m.group(0)) for m in _BLOB.finditer(line))
     if not total:
         return 0.0, 0.0
-    return dense / total, data / total if data_lines >= 12 else 0.0
+    return dense / total, data / total if data >= LEAST_DATA else 0.0
 
 
 def file_features(path: str, content: str, automaton, own_names: frozenset[str]) -> tuple:
     """What one file shows by itself; a row of FEATURES."""
-    lines = re.split(r"\r\n|\r|\n", content)
-    comments: list[str | None] = []
-    for line in lines:
-        m = _COMMENT.match(line)
-        comments.append(line[m.end() :].strip().removesuffix("*/").removesuffix("-->").rstrip() if m else None)
-
+    lines, comments = _comment_lines(path, content)
     generated = 0.0
     in_header, third, header_text = True, {}, []
     for line, comment in zip(lines, comments, strict=True):
@@ -267,8 +307,7 @@ def file_features(path: str, content: str, automaton, own_names: frozenset[str])
         if in_header:
             header_text.append(text)
         if opening and opening + confirmed >= 2:
-            # Away from the header a notice may be part of a template.
-            generated = max(generated, 1.0 if in_header else 0.6)
+            generated = 1.0
     head = "\n".join(header_text)
     own = {m.group(1) for m in _OWN.finditer(head)} | {n for n in own_names if re.search(rf"\b{re.escape(n)}\b", head)}
     banner, library = 0.0, None
@@ -285,8 +324,8 @@ def file_features(path: str, content: str, automaton, own_names: frozenset[str])
     defined = [a or b for a, b in _DEFINED.findall(content)]
     firsts = Counter(p[0] for p in map(_parts, defined) if p)
     prefix, count = min(firsts.items(), key=lambda x: (-x[1], x[0])) if firsts else (None, 0)
-    code = [line.strip() for line, comment in zip(lines, comments, strict=True) if comment is None and line.strip()]
-    body = hashlib.sha256("\n".join(code).encode("utf-8", "replace")).hexdigest()[:32] if len(code) >= 5 else None
+    code = "\n".join(line.strip() for line, comment in zip(lines, comments, strict=True) if comment is None and line.strip())
+    body = hashlib.sha256(code.encode("utf-8", "replace")).hexdigest()[:32] if len(code) >= LEAST_BODY else None
     top = path.replace("\\", "/").split("/", 1)[0]
     return (path, top, generated, minified, data, banner, library, prefix, count / max(len(defined), 1), count, body)
 
@@ -313,12 +352,42 @@ def features(files: DataFrame, own_names: tuple[str, ...] = ()) -> DataFrame:
     return spread(rows).mapInArrow(run, FEATURES).distinct()
 
 
+def own_prefixes(facts: DataFrame) -> list[str]:
+    """What leads the identifiers of the code base's own files, from FEATURES: at most two names.
+
+    In each top folder the name counts that leads the identifiers of most
+    bodies which stand in no other top folder: a library's files are the same
+    wherever they were copied to. A name that counts in at least half of the
+    top folders, and in two, is the code base's.
+    """
+    rows = facts.where("body IS NOT NULL")
+    bodies = rows.groupBy("body").agg(F.min("top").alias("top"), F.max("top").alias("other"), F.min("prefix").alias("prefix"), F.max("prefix_count").alias("n"))
+    leading = bodies.where("top = other AND prefix IS NOT NULL AND n >= 2").groupBy("top", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    first = leading.groupBy("top").agg(F.max(F.struct("n", "prefix")).alias("x")).select("top", "x.prefix")
+    counted = first.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    tops = rows.select("top").distinct().count()
+    # One name per top folder: no more than two can have half of them.
+    return sorted(r["prefix"] for r in counted.where((F.col("n") >= 2) & (2 * F.col("n") >= tops)).collect())
+
+
+def _without_own_banners(facts: DataFrame) -> DataFrame:
+    """FEATURES where the code base's own copyright lines are no banner: those that name it, or name no one in files it leads."""
+    facts = cut(facts)
+    own = [p for p in own_prefixes(facts) if len(p) >= 3]
+    if not own:
+        return facts
+    library = F.lower("library")
+    is_own = F.coalesce(F.when(library.isNull(), F.col("prefix").isin(own)).otherwise(library.rlike(f"^(?:{'|'.join(map(re.escape, own))})")), F.lit(False))
+    return facts.withColumn("banner", F.when(is_own, 0.0).otherwise(F.col("banner"))).withColumn("library", F.when(~is_own, F.col("library")))
+
+
 def not_handwritten(files: DataFrame, patterns: list[str], own_names: tuple[str, ...] = ()) -> DataFrame:
     """(path, reason, score) of source files nobody wrote by hand for this code base.
 
     files: (path, content, ...); patterns: the ignore patterns in order, a
-    project's settings; own_names: names of the code base itself, whose
-    copyright lines are no third party's. reason is generated, minified, data
+    project's settings; own_names: further names of the code base itself, whose
+    copyright lines are no third party's; what leads its identifiers is found
+    in the table. reason is generated, minified, data
     or third_party, the one with most evidence.
 
     Evidence runs from 0 to 1 and 1 makes a case. Content alone can reach it;
@@ -332,7 +401,7 @@ def not_handwritten(files: DataFrame, patterns: list[str], own_names: tuple[str,
     differ is a case when one of them is. Empty files and empty tables give no
     rows.
     """
-    facts = cut(features(files, own_names))
+    facts = _without_own_banners(features(files, own_names))
     banners = facts.where("banner >= 1")
     named = banners.where("library IS NOT NULL").select(F.lower("library").alias("prefix")).distinct()
     # A banner may name a project otherwise than its code does: the code's own
@@ -359,7 +428,7 @@ def not_handwritten(files: DataFrame, patterns: list[str], own_names: tuple[str,
     lock = path.rlike("(?i)" + LOCKFILES)
     listed = ignored(path, patterns)
     evidence = {
-        "generated": (F.when(F.col("generated") >= 0.6, 1.0).otherwise(F.col("generated")), path.rlike("(?i)" + GENERATED_PATHS) | lock),
+        "generated": (F.when(F.col("generated") >= REPEATED, 1.0).otherwise(F.col("generated")), path.rlike("(?i)" + GENERATED_PATHS) | lock),
         "minified": (F.when(F.col("minified") >= 0.6, 1.0).otherwise(F.col("minified")), path.rlike("(?i)" + MINIFIED_PATHS)),
         "data": (F.when(F.col("data") >= 0.75, 1.0).otherwise(F.col("data")), lock),
         "third_party": (third, path.rlike("(?i)" + VENDOR_FOLDERS)),

@@ -9,14 +9,10 @@ from quern.llm import handwritten, mixing, packing, pii, terms, tokens
 from quern.session import cut, table
 
 
-#: What the code base calls itself: its own copyright lines are no third party's.
-OWN_NAMES = ("tarnfield",)
-
-
 def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The ignore patterns are a project's settings, a few lines in order.
     patterns = [r["pattern"] for r in table(spark, sf_dir, "ignore_patterns").orderBy("pos").collect() if r["pattern"]]
-    return handwritten.not_handwritten(table(spark, sf_dir, "source_files"), patterns, OWN_NAMES)
+    return handwritten.not_handwritten(table(spark, sf_dir, "source_files"), patterns)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,50 @@ def test_minified_data_and_third_party(spark):
     }
 
 
+def test_notices_in_strings_are_none(spark):
+    head = "// Code generated by foo. DO NOT EDIT.\n# Code generated by foo. DO NOT EDIT.\n"
+    rows = [
+        ("p/a.py", f'HEAD = """\n{head}"""\n\n' + OWN),
+        ("p/b.py", f"HEAD = '''\n{head}'''\n\n" + OWN),
+        ("p/c.go", f"package p\n\nconst head = `\n{head}`\n"),
+        ("p/d.ts", f"export const head = `\n{head}`;\n"),
+        ("p/e.rs", f'const HEAD: &str = r#"\n{head}"#;\nfn f<\'a>(x: &\'a str) {{}}\n'),
+        ("p/f.rs", f'const HEAD: &str = "\n{head}";\n'),
+        ("p/g.cpp", f'const char *head = R"x(\n{head})x";\n'),
+        ("p/h.swift", f'let head = """\n{head}"""\n'),
+    ]
+    assert reasons(spark, rows) == {}
+    # The same lines outside of strings, and in comments of several lines, are notices.
+    rows = [
+        ("p/a.py", 'X = """\nsome text\n"""\n# Code generated by foo. DO NOT EDIT.\n' + OWN),
+        ("p/b.js", "/*\n  This file was generated by foo.\n  Do not edit.\n*/\nfunction a() {}\n"),
+        ("p/c.rs", "fn f<'a>(x: &'a str) { \"it's\" }\n// Code generated by foo. DO NOT EDIT.\n"),
+    ]
+    assert reasons(spark, rows) == {p: "generated" for p, _ in rows}
+
+
+def test_data_counts_by_its_size(spark):
+    numbers = ", ".join(map(str, range(9000)))
+    rows = [
+        ("p/one.py", f"TABLE = [{numbers}]\n"),
+        ("p/eleven.py", "TABLE = [\n" + f"    {numbers},\n" * 11 + "]\n"),
+        ("p/two.js", f"const A = [{numbers}];\nconst B = [{numbers}];\n"),
+    ]
+    assert reasons(spark, rows) == {p: "data" for p, _ in rows}
+    assert reasons(spark, [("p/few.py", "A = [1, 2, 3]\nB = [4, 5]\n")]) == {}
+
+
+def test_own_banners_are_told_by_the_tables(spark):
+    def own(i):
+        return f"// Copyright (c) 2024 the plumfield team. All rights reserved.\nfn plum_read_{i}(a: u8) -> u8 {{\n    a + {i}\n}}\nfn plum_write_{i}_back(b: u8) -> u8 {{\n    b * {i}\n}}\n"
+
+    library = "// Copyright (c) 2019 the zorbie contributors. All rights reserved.\nfn zorbie_a(n: u8) -> u8 {\n    n + 1\n}\nfn zorbie_b(n: u8) -> u8 {\n    n + 2\n}\n"
+    rows = [(f"t{i}/own{i}.rs", own(i)) for i in range(6)] + [(f"t{i}/lib.rs", library) for i in range(5)]
+    assert reasons(spark, rows, own=()) == {f"t{i}/lib.rs": "third_party" for i in range(5)}
+    # A single folder shows nothing: its banners count as they stand.
+    assert set(reasons(spark, [("t/own.rs", own(1)), ("t/lib.rs", library)], own=())) == {"t/own.rs", "t/lib.rs"}
+
+
 # --- 2 and 3: terms -------------------------------------------------------------------
 
 POST = "token string, component_id string, origin string, extra int"
