@@ -31,13 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir.
 
-    Only where neither the context nor the setting has one (tests, a local
-    run) a temporary folder is made.
+    Only where neither the context nor the setting has one, and the master is
+    local (tests, a local run), a temporary folder is made. RuntimeError on a
+    cluster without a folder: its executors share no local disk.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from quern.sources.ignore import DEFAULT_PATTERNS
 
+COMPONENT = "id string, language string, type string, name string, file string, start_line int, end_line int, display_path string"
+POSTING = "token string, component_id string, origin string"
+DIAGNOSTIC = "file string, line int, severity string, code string, message string"
 CATALOG = "path string, title string, description string, parent_path string, sort_key string"
 
 
@@ -37,11 +40,19 @@ class Settings:
         return replace(self, ignore_patterns=tuple(dict.fromkeys([*kept, *add])))
 
 
-def load_settings(path: str, template: str | None = None) -> Settings:
+def load_settings(path: str, template: str | None = None, write: bool = False) -> Settings:
     """Settings of a project; of the template where it has none (its storage place apart), else defaults.
 
-    The default ignore patterns always apply.
+    The default ignore patterns always apply. write: settings that came from
+    elsewhere are stored as the project's own, as on its first use.
     """
+    settings = _load_settings(path, template)
+    if write and not os.path.exists(path):
+        save_settings(settings, path)
+    return settings
+
+
+def _load_settings(path: str, template: str | None) -> Settings:
     known = Settings.__dataclass_fields__
     source = path if os.path.exists(path) else template if template and os.path.exists(template) else None
     if source is None:
@@ -94,9 +105,58 @@ class Registry:
         return spark.createDataFrame(sorted(self.projects.items()), "project_id string, root string")
 
 
+# --- files wherever they lie ------------------------------------------------------------
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop knows them, whatever the path's scheme."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, on any file system Spark reads."""
+    system, where = _file_system(spark, path)
+    return system.exists(where)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none where there is no such folder."""
+    system, where = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, read on the driver."""
+    system, where = _file_system(spark, path)
+    stream = system.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file: written beside its place and then renamed, so that no reader sees half of it."""
+    system, where = _file_system(spark, path)
+    _, beside = _file_system(spark, path + ".tmp")
+    stream = system.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if system.exists(where):
+        system.delete(where, False)
+    if not system.rename(beside, where):
+        raise OSError(f"could not write {path}")
+
+
+# --- links and catalog -----------------------------------------------------------------
+
+
 def read_link_store(spark: SparkSession, path: str) -> DataFrame:
     """(component_id, path, pos) of a link store {version, memberships: {id: [path]}}; a missing file is empty."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "component_id string, path string, pos int")
     raw = spark.read.schema("version int, memberships map<string,array<string>>").option("multiLine", True).json(path)
     rows = raw.select(F.explode("memberships").alias("component_id", "paths"))
@@ -117,26 +177,83 @@ def read_link_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """CATALOG of a file {version, paths: {path: {...}}}; a missing file is empty."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], CATALOG)
     entry = "struct<title:string,description:string,parent_path:string,sort_key:string>"
     raw = spark.read.schema(f"version int, paths map<string,{entry}>").option("multiLine", True).json(path)
     return raw.select(F.explode("paths").alias("path", "e")).select("path", "e.*")
 
 
+def catalog_lines(catalog: DataFrame, updated_at: str) -> DataFrame:
+    """(value): the catalog as one JSON object per entry."""
+    names = [f.split()[0] for f in CATALOG.split(", ")]
+    return catalog.select(F.to_json(F.struct(*names, F.lit(updated_at).alias("updated_at"))).alias("value"))
+
+
+def read_catalog_lines(spark: SparkSession, path: str) -> DataFrame:
+    """CATALOG of a folder or file of catalog_lines."""
+    return spark.read.schema(CATALOG).json(path)
+
+
+def link_document(store: DataFrame, updated_at: str) -> str:
+    """The one JSON text read_link_store reads, for stores that fit a driver: {version, updated_at, memberships}."""
+    rows = store.groupBy("component_id").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("p")).orderBy("component_id")
+    members = {r["component_id"]: [x["path"] for x in r["p"]] for r in rows.toLocalIterator()}
+    return json.dumps({"version": 1, "updated_at": updated_at, "memberships": members}, indent=2, ensure_ascii=False) + "\n"
+
+
+def catalog_document(catalog: DataFrame, updated_at: str) -> str:
+    """The one JSON text read_catalog reads, for catalogs that fit a driver: {version, updated_at, paths}."""
+    entries = {r["path"]: {k: v for k, v in r.asDict().items() if k != "path" and v is not None} for r in catalog.orderBy("path").toLocalIterator()}
+    return json.dumps({"version": 1, "updated_at": updated_at, "paths": entries}, indent=2, ensure_ascii=False) + "\n"
+
+
+# --- tables ----------------------------------------------------------------------------
+
+
 def read_table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored parquet table, or an empty one of that schema."""
-    return spark.read.schema(schema).parquet(path) if os.path.exists(path) else spark.createDataFrame([], schema)
+    """A stored parquet table, or an empty one of that schema where there is none."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """COMPONENT rows of an index that save_index wrote; none where there is no index."""
+    return read_table_or_empty(spark, path, COMPONENT)
+
+
+def load_postings(spark: SparkSession, path: str) -> DataFrame:
+    """POSTING rows that save_postings wrote; none where there is no token index."""
+    return read_table_or_empty(spark, path, POSTING)
+
+
+def load_diagnostics(spark: SparkSession, path: str) -> DataFrame:
+    """DIAGNOSTIC rows that save_diagnostics wrote; none where no analyzer has run."""
+    return read_table_or_empty(spark, path, DIAGNOSTIC)
 
 
 def save_index(components: DataFrame, path: str) -> None:
-    """Components by language: a listing of one language reads that part only."""
-    components.repartition("language").write.mode("overwrite").partitionBy("language").parquet(path)
+    """Components by language: a listing of one language reads that part only.
+
+    Ranged by language and file: a language with many files is written by many
+    tasks, one with few shares a task.
+    """
+    ranged = components.repartitionByRange("language", "file").sortWithinPartitions("language", "file")
+    ranged.write.mode("overwrite").partitionBy("language").parquet(path)
+
+
+def save_postings(postings: DataFrame, path: str, files: int | None = None) -> None:
+    """Postings ranged and sorted by token, so that a search skips row groups by their token range.
+
+    files: how many to write; by default as many as shuffle partitions.
+    """
+    order = ("token", "component_id")
+    ranged = postings.repartitionByRange(files, *order) if files else postings.repartitionByRange(*order)
+    ranged.sortWithinPartitions("token").write.mode("overwrite").parquet(path)
 
 
-def save_postings(postings: DataFrame, path: str, files: int = 16) -> None:
-    """Postings ranged and sorted by token, so that a search skips row groups by their token range."""
-    postings.repartitionByRange(files, "token", "component_id").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+def save_diagnostics(diagnostics: DataFrame, path: str) -> None:
+    """The last analyzer run's messages, ranged by file; they replace those of the run before."""
+    diagnostics.select(*(f.split()[0] for f in DIAGNOSTIC.split(", "))).repartitionByRange("file", "line").write.mode("overwrite").parquet(path)
 
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:

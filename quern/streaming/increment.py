@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import extraction as X
 from quern.operators.sync import replaced
-from quern.sources.stores import read_table_or_empty
+from quern.sources.stores import COMPONENT, names_in, read_text, write_text
 
 FILE = "path string, language string, content string, file_hash string, indexed_at timestamp_ntz"
-COMPONENT = "id string, language string, type string, name string, file string, start_line int, end_line int, display_path string"
+#: An index is kept in so many parts by the hash of the file, a batch rewrites the parts it touches.
+PARTS = 64
 
 
 def read_files(spark: SparkSession, folder: str, per_trigger: int = 8) -> DataFrame:
@@ -29,17 +32,61 @@ def apply_batch(old: DataFrame, files: DataFrame) -> DataFrame:
     return replaced(old, components_of(newest), newest)
 
 
+def _part(file: str):
+    return F.pmod(F.xxhash64(file), F.lit(PARTS)).cast("int")
+
+
+def _manifest(spark: SparkSession, index: str) -> tuple[int, dict[str, str]]:
+    """(number, folder of each part) of the newest manifest; -2 and nothing where there is no index."""
+    numbers = [int(n.removeprefix("manifest-").removesuffix(".json")) for n in names_in(spark, index) if n.startswith("manifest-") and n.endswith(".json")]
+    if not numbers:
+        return -2, {}
+    return max(numbers), json.loads(read_text(spark, f"{index}/manifest-{max(numbers)}.json"))
+
+
+def _read_parts(spark: SparkSession, index: str, folders: list[str]) -> DataFrame:
+    return spark.read.schema(COMPONENT).parquet(*(f"{index}/{f}" for f in folders)) if folders else spark.createDataFrame([], COMPONENT)
+
+
+def _write_parts(components: DataFrame, index: str, number: int, known: dict[str, str]) -> None:
+    """Writes components' parts as generation `number`; the manifest that names them comes last."""
+    spark = components.sparkSession
+    data = f"data/generation={number}"
+    components.withColumn("part", _part("file")).repartition(PARTS, "part").write.mode("overwrite").partitionBy("part").parquet(f"{index}/{data}")
+    written = {n.removeprefix("part="): f"{data}/{n}" for n in names_in(spark, f"{index}/{data}") if n.startswith("part=")}
+    write_text(spark, f"{index}/manifest-{number}.json", json.dumps({**known, **written}))
+
+
+def read_index(spark: SparkSession, index: str) -> DataFrame:
+    """COMPONENT rows of a kept index as its newest manifest names them; a reader never sees half a batch."""
+    return _read_parts(spark, index, sorted(_manifest(spark, index)[1].values()))
+
+
+def start_index(components: DataFrame, index: str) -> None:
+    """A kept index from components extracted before, as a first generation."""
+    _write_parts(components.select(*(f.split()[0] for f in COMPONENT.split(", "))), index, -1, {})
+
+
 def maintain(stream: DataFrame, index: str, checkpoint: str):
-    """Starts the upkeep of the index at a path; generations alternate, the pointer moves last.
+    """Starts the upkeep of the index at a path, which may exist already (start_index).
 
-    A batch that is run again after a failure rewrites the generation it was
-    writing, so every batch takes effect once.
+    A batch reads and rewrites only the parts its files fall into, as a new
+    generation; then a manifest names the parts that are valid. A batch that
+    is run again after a failure rewrites its own generation, and one that has
+    its manifest already is passed over, so every batch takes effect once.
     """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        old = read_table_or_empty(spark, f"{index}/{(number + 1) % 2}", COMPONENT) if number else spark.createDataFrame([], COMPONENT)
-        apply_batch(old, batch).write.mode("overwrite").parquet(f"{index}/{number % 2}")
+        last, folders = _manifest(spark, index)
+        if last >= number:
+            return
+        batch = batch.persist()
+        # At most PARTS numbers.
+        touched = [str(r["part"]) for r in batch.where("path IS NOT NULL").select(_part("path").alias("part")).distinct().collect()]
+        old = _read_parts(spark, index, [folders[p] for p in touched if p in folders])
+        _write_parts(apply_batch(old, batch), index, number, {p: f for p, f in folders.items() if p not in touched})
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -64,7 +64,65 @@ def test_stream_keeps_the_index(spark, tmp_path):
         if step:
             rows(("a.rs", "fn c() {}", "2")).coalesce(1).write.mode("append").parquet(source)
         increment.maintain(increment.read_files(spark, source), index, str(tmp_path / "cp")).awaitTermination()
-        assert {r["name"] for r in spark.read.parquet(f"{index}/{step % 2}").collect()} == expected
+        assert {r["name"] for r in increment.read_index(spark, index).collect()} == expected
+
+
+def test_stream_goes_on_from_an_index(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame([(p, "rust", c, h, None) for p, c, h in r], increment.FILE)
+    source, index = str(tmp_path / "in"), str(tmp_path / "index")
+    assert increment.read_index(spark, index).count() == 0
+    increment.start_index(increment.components_of(rows(*((f"{i}.rs", f"fn f{i}() {{}}", "1") for i in range(40)))), index)
+    rows(("3.rs", "fn g() {}", "2"), ("4.rs", "", "2"), (None, "fn x() {}", "1")).coalesce(1).write.parquet(source)
+    for _ in range(2):  # the second run finds nothing new
+        increment.maintain(increment.read_files(spark, source), index, str(tmp_path / "cp")).awaitTermination()
+        names = [r["name"] for r in increment.read_index(spark, index).collect()]
+        assert sorted(names) == sorted([f"f{i}" for i in range(40) if i not in (3, 4)] + ["g"])
+    # Parts without a file of the batch stay where they were.
+    assert {f.split("/")[1] for f in increment._manifest(spark, index)[1].values()} == {"generation=-1", "generation=0"}
+
+
+def test_tables_and_documents(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    for load in (stores.load_index, stores.load_postings, stores.load_diagnostics):
+        assert load(spark, at("none")).count() == 0
+    components = spark.createDataFrame([(f"fn-{i}", "rust" if i % 3 else "go", "fn", f"f{i}", f"{i}.x", 1, 2, "") for i in range(30)], stores.COMPONENT)
+    stores.save_index(components, at("index"))
+    assert sorted(map(str, stores.load_index(spark, at("index")).select(components.columns).collect())) == sorted(map(str, components.collect()))
+    assert {n for n in stores.names_in(spark, at("index")) if "=" in n} == {"language=rust", "language=go"}
+    found = spark.createDataFrame([("a", 1, "error", "", "m"), ("a", 1, "error", "", "m")], stores.DIAGNOSTIC)
+    for _ in range(2):
+        stores.save_diagnostics(found, at("diagnostics"))
+    assert stores.load_diagnostics(spark, at("diagnostics")).count() == 2
+    links = spark.createDataFrame([("c", "b", 1), ("c", "a", 0), ("d", "ü", 0)], "component_id string, path string, pos int")
+    stores.write_text(spark, at("links.json"), stores.link_document(links, "2025"))
+    assert sorted(map(tuple, stores.read_link_store(spark, at("links.json")).collect())) == sorted(map(tuple, links.collect()))
+    catalog = spark.createDataFrame([("a", "A", None, None, "1"), ("b", None, "d", "a", None)], stores.CATALOG)
+    stores.write_text(spark, at("catalog.json"), stores.catalog_document(catalog, "2025"))
+    stores.catalog_lines(catalog, "2025").write.text(at("catalog"))
+    for back in (stores.read_catalog(spark, at("catalog.json")), stores.read_catalog_lines(spark, at("catalog"))):
+        assert sorted(map(str, back.collect())) == sorted(map(str, catalog.collect()))
+    assert stores.load_settings(at("own.json"), write=True) == stores.load_settings(at("own.json")) and stores.exists(spark, at("own.json"))
+
+
+def test_scan_of_odd_roots(spark, tmp_path):
+    root = tmp_path / "a+(b).c"
+    root.mkdir()
+    (root / "x.Rs").write_text("fn a() {}")
+    assert [r["path"] for r in scan_tree(spark, str(root)).collect()] == ["x.Rs"]
+
+
+def test_no_local_checkpoints_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from quern.session import ensure_checkpoint_dir
+
+    used = []
+    context = lambda master: N(master=master, getCheckpointDir=lambda: None, setCheckpointDir=used.append)
+    for master in ("yarn", "spark://x:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(N(sparkContext=context(master), conf=N(get=lambda *_: None)))
+        ensure_checkpoint_dir(N(sparkContext=context(master), conf=N(get=lambda *_: "s3a://b/c")))
+    assert used == ["s3a://b/c"] * 3
 
 
 def test_stream_activity(spark, tmp_path):
