@@ -43,7 +43,7 @@ def orphans(refs: DataFrame, alive: DataFrame, salts: int = 16) -> DataFrame:
 
     Left anti-join of the distinct keys against the parents. The rows of ids
     that hold a large share of the references are salted by their time, and
-    only the few spells of those ids (at most HEAVY_KEYS ids) are repeated
+    only the few spells of those ids (as many as shuffle partitions) are repeated
     once per salt, so no task gets a whole hot id.
     """
     heavy = F.broadcast(heavy_keys(refs, "id").withColumn("_heavy", F.lit(True)))

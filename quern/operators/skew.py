@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.session import cut
+from quern.session import cut, parallelism
 
-#: So many keys are set apart as heavy. Every other key holds at most
-#: 1 / (HEAVY_KEYS + 1) of the rows.
+#: At least so many keys are set apart as heavy, and as many as there are shuffle partitions.
 HEAVY_KEYS = 32
 
 
-def heavy_keys(df: DataFrame, key: str, most: int = HEAVY_KEYS) -> DataFrame:
+def most_heavy(spark: SparkSession, least: int = HEAVY_KEYS) -> int:
+    """How many keys to set apart so that each other one holds less than one partition's share of the rows."""
+    return max(least, parallelism(spark))
+
+
+def heavy_keys(df: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """The `most` keys with the most rows in df, nulls left out; columns (key).
 
-    Never more than `most` rows, so it may be broadcast whatever the input.
-    Rows are counted before the shuffle. Ties fall by key, so that two
-    evaluations agree. Empty input gives no rows.
+    By default there are as many as shuffle partitions: no other key holds as
+    much as one partition's share, whatever the size of the cluster. Never
+    more than `most` rows, so it may be broadcast whatever the input. Rows are
+    counted before the shuffle. Ties fall by key, so that two evaluations
+    agree. Empty input gives no rows.
     """
+    most = most_heavy(df.sparkSession) if most is None else most
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return counts.orderBy(F.desc("_n"), F.asc(key)).limit(most).select(key)
 
@@ -30,7 +37,7 @@ def heavy_keys(df: DataFrame, key: str, most: int = HEAVY_KEYS) -> DataFrame:
 SALTS = 16
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", most: int = HEAVY_KEYS) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", most: int | None = None) -> DataFrame:
     """Equi-join on `key` where right has one row per key and left may be skewed.
 
     Left rows of heavy keys are spread by a hash of the row, and the few right
@@ -84,6 +91,20 @@ def global_index(df: DataFrame, order: list[str], value: Column | None = None, i
     return rows.mapInArrow(run, schema)
 
 
+#: A table of at most so many narrow rows may be sent to every executor.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, cut and counted, marked for broadcast if it has at most `most` rows; a larger one joins by shuffle.
+
+    For narrow tables whose size isn't known before they are made: the other
+    side of the join then keeps its partitioning.
+    """
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores.
 

@@ -48,6 +48,14 @@ def test_changes_between_snapshots(spark):
     assert changes(spark, rows) == {("r", at, "b", "removed"), ("r", at, "B", "added"), ("r", at, "d", "changed"), ("r", at, "x/y", "added")}
 
 
+def test_except_all_counts_copies(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "z")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (4, "w")], "k int, v string")
+    over_a, over_b = S.except_all_both_ways(a, b)
+    assert sorted(map(tuple, over_a.collect())) == sorted(map(tuple, a.exceptAll(b).collect())) == [(1, "x"), (3, "z")]
+    assert sorted(map(str, over_b.collect())) == sorted(map(str, b.exceptAll(a).collect()))
+
+
 def test_changes_of_nothing(spark):
     assert changes(spark, []) == set()
 
