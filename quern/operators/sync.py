@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.cleaning import file_path
-from quern.functions.text import detected_language
+from quern.functions.text import content_hash, detected_language
+from quern.operators.edges import inferred_edges
+from quern.operators.extraction import raw_components, with_ids
+from quern.operators.liveness import liveness
+from quern.session import cut
 from quern.sources.ignore import ignored
 
 
@@ -71,6 +77,96 @@ def replaced(old: DataFrame, new: DataFrame, paths: DataFrame, column: str = "fi
     return old.join(gone, column, "left_anti").select(old.columns).unionByName(new.select(old.columns))
 
 
+#: What extraction gives for a component of the index.
+_COMPONENT = ("id", "language", "type", "name", "file", "start_line", "end_line", "display_path")
+
+
+@dataclass(frozen=True)
+class Index:
+    """An index's tables: files (path, language, file_hash), components, edges (src, target, kind), liveness (id, death_status, reasons)."""
+
+    files: DataFrame
+    components: DataFrame
+    edges: DataFrame
+    liveness: DataFrame
+
+
+def _hashed(present: DataFrame) -> DataFrame:
+    return present.select("path", "language", "content", content_hash("content").alias("file_hash"))
+
+
+def _rebuilt(files: DataFrame, components: DataFrame, present: DataFrame, annotations: DataFrame, seeds: dict) -> Index:
+    """The index of these components: edges and liveness are those of all files, whatever changed."""
+    # Both read the components several times.
+    components = cut(components)
+    content = present.join(files.select("path"), "path", "left_semi").select("path", "language", "content")
+    edges = cut(inferred_edges(components, content))
+    return Index(files, components, edges, liveness(components, edges, content, annotations, **seeds))
+
+
+def _components_of(files: DataFrame) -> DataFrame:
+    return with_ids(raw_components(files)).select(*_COMPONENT)
+
+
+def full_sync(present: DataFrame, annotations: DataFrame, patterns: list[str], **seeds) -> Index:
+    """The index of a tree built anew. present: (path, language, content), one row per path; seeds as in liveness."""
+    usable = _hashed(present).where(F.col("language").isNotNull() & ~ignored(F.col("path"), patterns))
+    return _rebuilt(usable.select("path", "language", "file_hash"), _components_of(usable), present, annotations, seeds)
+
+
+def partial_sync(
+    index: Index, requested: DataFrame, present: DataFrame, annotations: DataFrame, patterns: list[str], **seeds
+) -> tuple[Index, DataFrame]:
+    """The index after a sync of the requested paths, and (path, status, reason) of each.
+
+    Rows of indexed and removed paths are exchanged, and so are those of
+    present files whose extension is no longer known; all else keeps its
+    components. An indexed file that is gone is dropped even if nobody asked
+    for it. Then edges and liveness are computed for the whole index. A file
+    that changed but wasn't requested keeps its components and its old hash,
+    so it still shows as drifted.
+    """
+    now = cut(_hashed(present))
+    status = cut(partial_status(requested, index.files, now, patterns))
+    read = status.where("status = 'indexed'").select("path")
+    gone = status.where("status = 'removed' OR reason = 'unsupported file extension'").select("path")
+    missing = index.files.select("path").join(now.select("path"), "path", "left_anti")
+    paths = read.unionByName(gone).unionByName(missing).distinct()
+    fresh = now.join(read, "path", "left_semi")
+    files = replaced(index.files.select("path", "language", "file_hash"), fresh.select("path", "language", "file_hash"), paths, "path")
+    components = replaced(index.components.select(*_COMPONENT), _components_of(fresh), paths)
+    return _rebuilt(cut(files), components, present, annotations, seeds), status
+
+
+def add_file(index: Index, path: str, present: DataFrame, annotations: DataFrame, patterns: list[str], **seeds) -> Index:
+    """A partial sync of one file; ValueError with the reason if it wasn't indexed, unless it was unchanged."""
+    asked = present.sparkSession.createDataFrame([(path,)], "path string").select(file_path("path").alias("path"))
+    after, status = partial_sync(index, asked, present, annotations, patterns, **seeds)
+    row = status.first()
+    if row["status"] != "indexed" and row["reason"] != "file hash unchanged":
+        raise ValueError(f"{path}: {row['reason'] or row['status']}")
+    return after
+
+
+def remove_file(index: Index, path: str, present: DataFrame, annotations: DataFrame, **seeds) -> tuple[Index, bool]:
+    """The index without a file, and whether it held anything of it; untouched if it didn't."""
+    asked = present.sparkSession.createDataFrame([(path,)], "path string").select(file_path("path").alias("path"))
+    known = index.files.select("path").unionByName(index.components.select(F.col("file").alias("path")))
+    if known.join(asked, "path", "left_semi").isEmpty():
+        return index, False
+    files = index.files.join(asked, "path", "left_anti")
+    components = index.components.select(*_COMPONENT).join(asked.withColumnRenamed("path", "file"), "file", "left_anti").select(*_COMPONENT)
+    return _rebuilt(cut(files), components, present, annotations, seeds), True
+
+
+def refresh(index: Index, present: DataFrame, annotations: DataFrame, **seeds) -> Index:
+    """Edges and liveness computed anew; files that are gone are dropped, all others keep components and hash."""
+    here = present.select("path").distinct()
+    files = index.files.join(here, "path", "left_semi")
+    components = index.components.select(*_COMPONENT).join(here.withColumnRenamed("path", "file"), "file", "left_semi").select(*_COMPONENT)
+    return _rebuilt(cut(files), components, present, annotations, seeds)
+
+
 def sync_mode(files: list[str], git: bool | None, prefers_git: bool, index_empty: bool, is_repo: bool, dirty: int) -> tuple[str, str]:
     """(mode, reason) of a sync: partial for named files; git_partial or noop where git is asked for and can tell; else full."""
     if files:
