@@ -5,32 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.cleaning import lower_trimmed, trimmed
+from quern.functions.cleaning import instant, lower_trimmed, trimmed
 from quern.session import table
 
 
+def _newest(rows: DataFrame, key: str, time, columns: list[str]) -> DataFrame:
+    """key and columns of each key's newest row as it stands; of several of one time the greatest."""
+    return rows.groupBy(key).agg(F.max(F.struct(time.alias("_time"), *columns)).alias("_x")).select(key, *(f"_x.{c}" for c in columns))
+
+
+_COMPONENT = ["language", "type", "name", "file", "start_line", "end_line", "death_status", "display_path", "errors", "warnings", "notes"]
+_NOTE = ["component_type", "component_name", "file", "language", "content", "created_at", "updated_at"]
+
+
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components in the index now: one row per id, those removed left out."""
+    """Components in the index now: the row seen last of each id, those removed left out."""
     rows = table(spark, sf_dir, "components").where("removed_at IS NULL AND id IS NOT NULL")
-    fault = lambda c: F.max(F.coalesce(f"faults.{c}", F.lit(0))).alias(c)
-    plain = ("language", "type", "name", "file", "start_line", "end_line", "death_status")
-    return rows.groupBy("id").agg(
-        *(F.max(c).alias(c) for c in plain), F.max(F.coalesce("display_path", F.lit(""))).alias("display_path"), fault("errors"), fault("warnings"), fault("notes")
-    )
+    rows = rows.withColumn("display_path", F.coalesce("display_path", F.lit("")))
+    rows = rows.withColumns({c: F.coalesce(f"faults.{c}", F.lit(0)) for c in ("errors", "warnings", "notes")})
+    return _newest(rows, "id", F.col("first_seen_at"), _COMPONENT)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, language, content): one row per path."""
+    """(path, language, content): the row indexed last of each path."""
     rows = table(spark, sf_dir, "source_files").where("path IS NOT NULL")
-    return rows.groupBy("path").agg(F.max("language").alias("language"), F.max("content").alias("content"))
+    return _newest(rows, "path", F.col("indexed_at"), ["language", "content"])
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per hash_id, tags and links of repeated rows united."""
+    """The note updated last of each hash_id, tags and links of all its rows united."""
     rows = table(spark, sf_dir, "annotations").withColumn("hash_id", lower_trimmed("hash_id")).where("hash_id IS NOT NULL")
-    plain = ("component_type", "component_name", "file", "language", "content", "created_at", "updated_at")
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return rows.groupBy("hash_id").agg(*(F.max(c).alias(c) for c in plain), united("tags"), united("links"))
+    newest = F.max(F.struct(F.coalesce(instant("updated_at"), instant("created_at")).alias("_time"), *_NOTE)).alias("_x")
+    rows = rows.groupBy("hash_id").agg(newest, united("tags"), united("links"))
+    return rows.select("hash_id", *(f"_x.{c}" for c in _NOTE), "tags", "links")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,17 +89,24 @@ def sql_ascii_lower(c: str) -> str:
     return f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-COMPS = """comps AS (
-  SELECT id, max(language) AS language, max("type") AS "type", max(name) AS name, max(file) AS file, max(start_line) AS start_line,
-         max(end_line) AS end_line, max(death_status) AS death_status, max(coalesce(display_path, '')) AS display_path,
-         max(coalesce(faults.errors, 0)) AS errors, max(coalesce(faults.warnings, 0)) AS warnings, max(coalesce(faults.notes, 0)) AS notes
-  FROM components WHERE removed_at IS NULL AND id IS NOT NULL GROUP BY id)"""
-FILES = "files AS (SELECT path, max(language) AS language, max(content) AS content FROM source_files WHERE path IS NOT NULL GROUP BY path)"
+def _sql_newest(key: str, time: str, columns: list[str]) -> str:
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in (time, *(f'"{c}"' for c in columns)))
+    return f"QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1"
+
+
+_COMPONENT_SQL = ", ".join(f'"{c}"' for c in _COMPONENT[:7])
+COMPS = f"""comps AS (
+  SELECT id, {_COMPONENT_SQL}, display_path, errors, warnings, notes FROM (
+    SELECT id, first_seen_at, {_COMPONENT_SQL}, coalesce(display_path, '') AS display_path,
+      coalesce(faults.errors, 0) AS errors, coalesce(faults.warnings, 0) AS warnings, coalesce(faults.notes, 0) AS notes
+    FROM components WHERE removed_at IS NULL AND id IS NOT NULL) {_sql_newest('id', 'first_seen_at', _COMPONENT)})"""
+FILES = f"files AS (SELECT path, language, content FROM source_files WHERE path IS NOT NULL {_sql_newest('path', 'indexed_at', ['language', 'content'])})"
+_NOTE_TIME = "coalesce(TRY_CAST(nullif(trim(updated_at), '') AS TIMESTAMPTZ), TRY_CAST(trim(created_at) AS TIMESTAMPTZ))"
 NOTES = f"""anns AS (
-  SELECT {sql_id('hash_id')} AS hash_id, max(component_type) AS component_type, max(component_name) AS component_name, max(file) AS file,
-         max(language) AS language, max(content) AS content, list_sort(list_distinct(flatten(list(tags)))) AS tags,
-         list_sort(list_distinct(flatten(list(links)))) AS links, max(created_at) AS created_at, max(updated_at) AS updated_at
-  FROM annotations GROUP BY 1 HAVING {sql_id('hash_id')} IS NOT NULL)"""
+  SELECT n.*, u.tags, u.links FROM (SELECT {sql_id('hash_id')} AS hash_id, {', '.join(_NOTE)} FROM annotations WHERE {sql_id('hash_id')} IS NOT NULL
+    {_sql_newest(sql_id('hash_id'), _NOTE_TIME, _NOTE)}) n
+  JOIN (SELECT {sql_id('hash_id')} AS hash_id, list_sort(list_distinct(flatten(list(tags)))) AS tags, list_sort(list_distinct(flatten(list(links)))) AS links
+    FROM annotations GROUP BY 1) u ON u.hash_id = n.hash_id)"""
 EDGES = f"""edges AS (SELECT DISTINCT {sql_id('src')} AS src, {sql_id('target')} AS target, kind FROM dep_edges
   WHERE {sql_id('src')} IS NOT NULL AND {sql_id('target')} IS NOT NULL)"""
 STORE = f"""store AS (SELECT {sql_id('component_id')} AS component_id, {TRIM.format('path')} AS path, min(pos) AS pos FROM link_membership
