@@ -51,28 +51,44 @@ def main_islands(members: DataFrame) -> DataFrame:
 def _mentions(candidates: DataFrame, files: DataFrame, shown: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ids mentioned in one of the shown files, and ids mentioned in their own file outside their lines.
 
-    candidates: (id, name, file, start_line, end_line); shown: (path). Files
-    become words, joined by equality; a name of several words is found by its
-    first word and then looked for as a whole.
+    candidates: (id, name, file, start_line, end_line); shown: (path). Lines
+    become words, which go on without their lines: only words some candidate
+    is named by, joined by equality. A name of several words, or with other
+    signs in it, is found by its first two words and then looked for as a
+    whole, in the lines these stand in.
     """
-    first = F.regexp_extract("name", _WORD, 1)
-    plain = F.col("name").rlike("^[A-Za-z0-9_]+$")
-    wanted = candidates.select("id", "name", "file", "start_line", "end_line", first.alias("word"), plain.alias("plain")).where("word <> ''")
-    words = wanted.select("word").distinct()
-    text = F.posexplode(lines("content")).alias("at", "line")
-    rows = files.select(F.col("path"), F.octet_length("content").alias("bytes"), text)
-    spoken = rows.select("path", "bytes", F.col("at").alias("at"), "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(_WORD), 1))).alias("word"))
-    # Only words that some candidate starts with go on.
-    spoken = spoken.join(words, "word", "left_semi")
-    whole = F.col("plain") | F.contains("line", F.col("name"))
-    elsewhere = spoken.join(shown, "path", "left_semi")
-    by_word = elsewhere.select("word").distinct()
-    odd = elsewhere.select("word", "line").distinct()
-    out_plain = wanted.where("plain").join(by_word, "word", "left_semi").select("id")
-    out_odd = wanted.where("NOT plain").join(odd, "word").where(F.contains("line", F.col("name"))).select("id").distinct()
-    inside = wanted.join(spoken.withColumnRenamed("path", "file"), ["file", "word"])
-    inside = inside.where((F.col("bytes") <= SCAN_LIMIT) & whole & ~(F.col("at") + 1).between(F.col("start_line"), F.col("end_line")))
-    return out_plain.unionByName(out_odd), inside.select("id").distinct()
+    wanted = candidates.select("id", "name", "file", "start_line", "end_line").where(F.col("name").rlike(_WORD))
+    single = F.col("name").rlike("^[A-Za-z0-9_]+$")
+    rows = files.select(F.col("path"), F.octet_length("content").alias("bytes"), F.posexplode(lines("content")).alias("at", "line"))
+    words = F.regexp_extract_all("line", F.lit(_WORD), 1)
+    place = ("path", "bytes", "at")
+
+    def found(keys: Column, known: DataFrame) -> DataFrame:
+        return rows.select(*place, F.explode(F.array_distinct(keys)).alias("key")).join(known.select("key").distinct(), "key", "left_semi")
+
+    named = wanted.where(single).withColumn("key", F.col("name"))
+    spoken = cut(found(words, named))
+    plain = named.join(spoken.join(shown, "path", "left_semi").select("key").distinct(), "key", "left_semi").select("id")
+    inside = named.join(spoken.withColumnRenamed("path", "file"), ["file", "key"])
+    apart = (F.col("bytes") <= SCAN_LIMIT) & ~(F.col("at") + 1).between(F.col("start_line"), F.col("end_line"))
+    inside = inside.where(apart).select("id")
+
+    # The second word counts where the name goes on after it: then it is whole in the line too.
+    pair = F.regexp_extract("name", r"([A-Za-z0-9_]+)[^A-Za-z0-9_]+([A-Za-z0-9_]+)[^A-Za-z0-9_]", 1)
+    second = F.regexp_extract("name", r"([A-Za-z0-9_]+)[^A-Za-z0-9_]+([A-Za-z0-9_]+)[^A-Za-z0-9_]", 2)
+    key = F.when(second != "", F.concat_ws(" ", pair, second)).otherwise(F.regexp_extract("name", _WORD, 1))
+    phrases = wanted.where(~single).withColumn("key", key)
+    # Whether there is any such name is one boolean.
+    if phrases.isEmpty():
+        return plain, inside.distinct()
+    names = phrases.select("name", "key").distinct()
+    some = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), some), F.slice(words, F.lit(2), some), lambda a, b: F.concat_ws(" ", a, b))
+    hits = found(F.concat(words, pairs), names).join(rows.select("path", "at", "line"), ["path", "at"])
+    hits = cut(hits.join(names, "key").where(F.contains("line", F.col("name"))).select(*place, "name"))
+    elsewhere = phrases.join(hits.join(shown, "path", "left_semi").select("name").distinct(), "name", "left_semi").select("id")
+    within = phrases.join(hits.withColumnRenamed("path", "file"), ["file", "name"]).where(apart).select("id")
+    return plain.unionByName(elsewhere), inside.unionByName(within).distinct()
 
 
 def _symbol_mentions(candidates: DataFrame, files: DataFrame, shown: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -793,7 +793,14 @@ def inferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.inferred_edges(cut(X.with_ids(X.raw_components(files))), files)
 
 
-@query()
+_ISLANDS = """nodes AS (SELECT id FROM comps),
+near AS (SELECT src AS a, target AS b FROM edges WHERE src <> target AND src IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)
+  UNION SELECT target, src FROM edges WHERE src <> target AND src IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+reached AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, n.b FROM reached r JOIN near n ON n.a = r.other),
+islands AS (SELECT id, min(other) AS island FROM reached GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {B.COMPS}, {B.EDGES}, {_ISLANDS} SELECT * FROM islands")
 def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     components = B.components(spark, sf_dir)
     return G.islands(components.select("id"), E.adjacency(B.edges(spark, sf_dir), components))
@@ -810,12 +817,44 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+#: Every name is held against every line and every word, as the rules say it; names without ASCII words, which the tables lack, are left to the tests.
+_LIVENESS = f"""{_ISLANDS},
+marked AS (SELECT c.*, i.island, (name IN ('main', 'run') AND "type" = 'fn') OR NOT contains(file, '/') OR contains(file, 'cmd/') AS seed FROM comps c JOIN islands i USING (id)),
+sizes AS (SELECT island, bool_or(seed) AS seeded, count(*) AS size, min((language, file, start_line, "type", name)) AS first FROM marked GROUP BY 1),
+mains AS (SELECT island FROM sizes WHERE seeded UNION ALL
+  (SELECT island FROM sizes WHERE NOT (SELECT bool_or(seeded) FROM sizes) ORDER BY size DESC, first DESC LIMIT 1)),
+stated AS (SELECT *, island IN (SELECT island FROM mains) AS in_main FROM marked),
+used AS (SELECT src, target FROM edges WHERE src <> target),
+facts AS (SELECT s.*, id IN (SELECT src FROM used UNION SELECT target FROM used) AS linked, coalesce(d.doomed, false) AS doomed FROM stated s
+  LEFT JOIN (SELECT u.target, NOT bool_or(coalesce(p.in_main, false)) AS doomed FROM used u LEFT JOIN stated p ON p.id = u.src GROUP BY 1) d ON d.target = s.id),
+judged AS (SELECT *, "type" NOT IN ({', '.join(repr(k) for k in X.IMPORT_KINDS)}) AND (NOT in_main OR NOT linked) AS candidate FROM facts),
+cand AS (SELECT *, regexp_full_match(name, '[A-Za-z0-9_]+') AS single, regexp_extract(name, '[A-Za-z0-9_]+') AS word FROM judged WHERE candidate),
+texts AS (SELECT path, strlen(content) AS bytes, line, nr FROM (SELECT path, content, unnest(x) AS line, generate_subscripts(x, 1) AS nr FROM (
+  SELECT path, content, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS x FROM files))),
+spoken AS (SELECT DISTINCT path, bytes, nr, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM texts),
+shown AS (SELECT DISTINCT file FROM judged WHERE NOT candidate),
+outside AS (
+  SELECT id FROM cand WHERE single AND name IN (SELECT word FROM spoken WHERE path IN (SELECT file FROM shown))
+  UNION SELECT c.id FROM cand c JOIN spoken s ON s.word = c.word JOIN texts t ON t.path = s.path AND t.nr = s.nr
+    WHERE NOT c.single AND contains(t.line, c.name) AND t.path IN (SELECT file FROM shown)),
+inside AS (SELECT c.id FROM cand c JOIN spoken s ON s.word = c.word AND s.path = c.file JOIN texts t ON t.path = s.path AND t.nr = s.nr
+  WHERE (c.single OR contains(t.line, c.name)) AND t.bytes <= 512000 AND t.nr NOT BETWEEN c.start_line AND c.end_line),
+kept AS (SELECT c.id FROM cand c JOIN anns k ON list_has_any(k.tags, ['keep', 'public_api', 'entrypoint']) AND (k.hash_id = c.id OR (k.file = c.file AND k.component_name = c.name
+  AND k.component_type = c."type" AND (k.language IS NULL OR k.language = c.language)))),
+known AS (SELECT j.*, f.path IS NOT NULL AND content IS NOT NULL AND trim(name) <> '' AS searched, coalesce(strlen(f.content) > 512000, false) AS large,
+    j.id IN (SELECT id FROM outside UNION SELECT id FROM inside) AS rescued, j.id IN (SELECT id FROM kept) AS kept FROM judged j LEFT JOIN files f ON f.path = j.file),
+live AS (SELECT id, CASE WHEN NOT candidate OR rescued OR kept THEN 'alive' WHEN searched AND large THEN 'maybe_dead' WHEN searched THEN 'definitely_dead' ELSE 'probably_dead' END AS death_status,
+  CASE WHEN NOT candidate OR rescued THEN '' WHEN kept THEN 'annotated_keep' ELSE array_to_string(list_filter([CASE WHEN NOT in_main THEN 'not_reachable_from_seeds' END,
+    CASE WHEN NOT linked THEN 'no_dependency_edges' END, CASE WHEN doomed THEN 'all_parents_dead_candidates' END, CASE WHEN searched AND large THEN 'scan_capped' END,
+    CASE WHEN searched AND NOT large THEN 'no_local_scope_references' END], lambda x: x IS NOT NULL), '|') END AS reasons FROM known)"""
+
+
+@query(f"WITH RECURSIVE {B.COMPS}, {B.EDGES}, {B.FILES}, {B.NOTES}, {_LIVENESS} SELECT * FROM live")
 def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _live(spark, sf_dir).select("id", "death_status", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query()
+@query(f"WITH RECURSIVE {B.COMPS}, {B.EDGES}, {B.FILES}, {B.NOTES}, {_LIVENESS} SELECT death_status, count(*) AS components FROM live GROUP BY 1")
 def liveness_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tier_counts(_live(spark, sf_dir))
 
