@@ -131,6 +131,8 @@ _SYNTAX = {
     "slash": (_SLASH_COMMENT, re.compile(rf"{_BLOCK}|(?P<m>{_TRIPLE}|R\"(?P<d>[^(\s\"]{{0,16}})\(.*?(?:\)(?P=d)\"|\Z)|`(?:\\.|[^`\\])*+(?:`|\Z))|{_SHORT}", re.S)),
     "rust": (_SLASH_COMMENT, re.compile(_BLOCK + r'|(?P<m>r(?P<d>#{0,8})".*?(?:"(?P=d)|\Z)|"(?:\\.|[^"\\])*+(?:"|\Z))', re.S)),
 }
+#: Without one of these no string or comment has several lines; in Rust any string may.
+_OPENERS = {"hash": ('"""', "'''"), "slash": ('"""', "`", "/*", 'R"'), "rust": ('r"', "r#", "/*")}
 _KIND_OF = {"py": "hash", "pyi": "hash", "rs": "rust"} | dict.fromkeys("js jsx mjs cjs ts tsx go swift zig c h cc cpp cxx hpp hh hxx java kt scala".split(), "slash")
 _FUNCTION = re.compile(
     r"(?:\b(?:fn|func|function|def|sub|fun)\s+|^(?:static\s+|inline\s+|const\s+|extern\s+)*(?:unsigned\s+)?(?:int|void|double|char|long|short|float|bool|size_t|auto|u?int\d+_t)\s+\**)"
@@ -244,12 +246,12 @@ def _comment_lines(path: str, content: str) -> tuple[list[str], list[str | None]
     kind = _KIND_OF.get(path.rsplit(".", 1)[-1].lower())
     marker, tokens = _SYNTAX[kind] if kind else (_COMMENT, None)
     inside = bytearray(len(lines))  # 1: begins inside a string, 2: inside a comment
-    if tokens is not None:
+    several = tokens is not None and (any(o in content for o in _OPENERS[kind]) or kind == "rust" and any(row.count('"') & 1 for row in lines))
+    if several:
         text = "\n".join(lines)
         at, line = 0, 0
         for m in tokens.finditer(text):
-            several = m.lastgroup and "\n" in m.group(0)
-            if several:
+            if m.lastgroup and "\n" in m.group(0):
                 line += text.count("\n", at, m.start())
                 many = m.group(0).count("\n")
                 inside[line + 1 : line + 1 + many] = bytes([2 if m.groupdict().get("c") else 1]) * many

@@ -162,7 +162,7 @@ def test_term_counts_against_brute_force(spark):
             seen[t].append(c)
         total = len({c for _, c in kept})
         want |= {(scope, t): (len(cs), len(set(cs)), total) for t, cs in seen.items()}
-    for heavy in (1, 5, 60):
+    for heavy in (1, 5, 60, 200):
         got = {(x["token_scope"], x["token"]): (x["n_rows"], x["n_components"], x["n_all"]) for x in terms.term_counts(postings(spark, rows), heavy).collect()}
         assert got == want
     limits = spark.createDataFrame([("all", 12, 0.5), ("name", None, None)], "token_scope string, min_components int, max_share double")
