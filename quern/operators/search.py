@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -155,23 +156,53 @@ def _best(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct("score", "kind"), order).alias("b")).select(*key, "b.score", "b.kind")
 
 
-def fuzzy_search(postings: DataFrame, query: str) -> DataFrame:
+@dataclass(frozen=True)
+class SearchIndex:
+    """What a search reads: postings (token, component_id, origin), tokens (token, stem) and grams (trigram, token)."""
+
+    postings: DataFrame
+    tokens: DataFrame
+    grams: DataFrame
+
+
+def search_index(postings: DataFrame) -> SearchIndex:
+    """The tables of an index over postings, to be saved and loaded again."""
+    tokens = postings.select("token").distinct()
+    return SearchIndex(postings, tokens.select("token", stem("token").alias("stem")), trigram_index(tokens))
+
+
+def fuzzy_search(postings: DataFrame | SearchIndex, query: str) -> DataFrame:
     """(component_id, score, match_type): ranked hits of a query over an index.
 
-    postings: (token, component_id, origin). The query's tokens are matched one
+    postings: (token, component_id, origin), or a whole index: then only the
+    rows of the query's trigrams and stems are read, where the token table is
+    gone through otherwise. The query's tokens are matched one
     by one; a component's score is the sum of its best match for each, its
     match_type that of the best of them. The tokens of the index are filtered
     before the postings are joined, so only matching tokens' postings move.
     """
+    index = postings if isinstance(postings, SearchIndex) else None
+    postings = postings.postings if index else postings
     spark = postings.sparkSession
     asked = spark.range(1).select(name_tokens(F.lit(query)).alias("t")).first()["t"]
     if not asked:
         return postings.select("component_id", F.lit(0.0).alias("score"), F.lit("").alias("match_type")).limit(0)
-    tokens = cut(token_table(postings))
     stems = spark.range(1).select(*(stem(F.lit(w)).alias(str(i)) for i, w in enumerate(asked))).first()
+    grams = sorted({g for i in range(len(asked)) for g in spark.range(1).select(trigrams(F.lit(asked[i])).alias("g")).first()["g"]})
+    related = reduce(lambda a, b: a | b, (_sibling(w, F.col("stem") == stems[str(i)])[0] for i, w in enumerate(asked)))
+    if index is None:
+        every = token_table(postings)
+        pool = every.where(F.arrays_overlap("grams", F.array(*map(F.lit, grams)).cast("array<string>")) | related)
+    else:
+        every = index.tokens.withColumn("grams", trigrams("token"))
+        near = index.grams.where(F.col("trigram").isin(grams)).select("token").distinct()
+        pool = every.join(near, "token", "left_semi").unionByName(every.where(related)).distinct()
+    tokens = cut(pool)
     shares = {w: F.arrays_overlap("grams", trigrams(F.lit(w))) for w in asked}
-    # One boolean per word of the query: whether any token shares a trigram.
-    known = tokens.agg(*(F.max(shares[w]).alias(str(i)) for i, w in enumerate(asked))).first()
+    # One boolean per word of the query: whether any token shares a trigram. Where none does, all tokens are looked at.
+    known = tokens.agg(*(F.coalesce(F.max(shares[w]), F.lit(False)).alias(str(i)) for i, w in enumerate(asked))).first()
+    if not all(known):
+        tokens = every
     token, both = F.col("token"), F.array(F.lit("name"), F.lit("annotation"))
     found = []
     for i, word in enumerate(asked):
@@ -192,7 +223,7 @@ def fuzzy_search(postings: DataFrame, query: str) -> DataFrame:
     return hits.groupBy("component_id").agg(F.sum("score").alias("score"), F.max_by("kind", order).alias("match_type"))
 
 
-def merged_search(components: DataFrame, postings: DataFrame, query: str, language: str | None = None, kind: str | None = None) -> DataFrame:
+def merged_search(components: DataFrame, postings: DataFrame | SearchIndex, query: str, language: str | None = None, kind: str | None = None) -> DataFrame:
     """Substring hits first (score 2, exact), then ranked hits among the other components.
 
     The order of the result is given by match_rank, score (descending) and the

@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.search import SearchIndex
 from quern.sources.ignore import DEFAULT_PATTERNS
 
 COMPONENT = "id string, language string, type string, name string, file string, start_line int, end_line int, display_path string"
@@ -251,6 +252,20 @@ def save_postings(postings: DataFrame, path: str, files: int | None = None) -> N
     ranged.sortWithinPartitions("token").write.mode("overwrite").parquet(path)
 
 
+def save_search_index(index: SearchIndex, path: str) -> None:
+    """An index's three tables, each ranged by what a search looks for in it."""
+    save_postings(index.postings, f"{path}/postings")
+    index.tokens.repartitionByRange("stem", "token").sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{path}/tokens")
+    index.grams.repartitionByRange("trigram", "token").sortWithinPartitions("trigram").write.mode("overwrite").parquet(f"{path}/grams")
+
+
+def load_search_index(spark: SparkSession, path: str) -> SearchIndex:
+    """An index that save_search_index wrote; an empty one where there is none."""
+    tokens = read_table_or_empty(spark, f"{path}/tokens", "token string, stem string")
+    grams = read_table_or_empty(spark, f"{path}/grams", "trigram string, token string")
+    return SearchIndex(load_postings(spark, f"{path}/postings"), tokens, grams)
+
+
 def save_diagnostics(diagnostics: DataFrame, path: str) -> None:
     """The last analyzer run's messages, ranged by file; they replace those of the run before."""
     diagnostics.select(*(f.split()[0] for f in DIAGNOSTIC.split(", "))).repartitionByRange("file", "line").write.mode("overwrite").parquet(path)

@@ -224,8 +224,8 @@ def test_whole_token_index_by_component(spark, tmp_path):
 def test_searches_see_tokens_outside_ascii(spark, tmp_path):
     words = ["büfer", "parsé", "größen", "parse_büffer"]
     spark.createDataFrame([(t, f"fn-{i}", "name") for i, t in enumerate(words)], "token string, component_id string, origin string").write.parquet(f"{tmp_path}/postings.parquet")
-    comps = [(f"fn-{i}", "python", "fn", t, "src/a.py", 1, 2, None, None, None, None) for i, t in enumerate(words)]
-    schema = "id string, language string, type string, name string, file string, start_line int, end_line int, death_status string, display_path string, removed_at timestamp, faults struct<errors:int,warnings:int,notes:int>"
+    comps = [(f"fn-{i}", "python", "fn", t, "src/a.py", 1, 2, None, None, None, None, None) for i, t in enumerate(words)]
+    schema = "id string, language string, type string, name string, file string, start_line int, end_line int, death_status string, display_path string, removed_at timestamp, faults struct<errors:int,warnings:int,notes:int>, first_seen_at timestamp"
     spark.createDataFrame(comps, schema).write.parquet(f"{tmp_path}/components.parquet")
     folder = str(tmp_path)
     assert [(r["token"], r["distance"]) for r in Q.edit_distance_hits(spark, folder).collect()] == [("büfer", 1)]

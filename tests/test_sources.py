@@ -104,6 +104,24 @@ def test_tables_and_documents(spark, tmp_path):
     assert stores.load_settings(at("own.json"), write=True) == stores.load_settings(at("own.json")) and stores.exists(spark, at("own.json"))
 
 
+def test_search_in_a_stored_index(spark, tmp_path):
+    from quern.operators import search as S
+
+    names = ["parseBuffer", "buffers", "parser", "bufer_size", "writeFile", "searchable", "death", "größe", "日本語", "x"]
+    components = spark.createDataFrame([(f"c{i}", n) for i, n in enumerate(names)], "id string, name string")
+    notes = spark.createDataFrame([("c4", "the parser and its buffer", ["Hot"])], "component_id string, content string, tags array<string>")
+    links = spark.createDataFrame([("c5", "@a/parsing/things")], "component_id string, path string")
+    postings = S.build_postings(components, notes, links)
+    stores.save_search_index(S.search_index(postings), str(tmp_path / "i"))
+    index = stores.load_search_index(spark, str(tmp_path / "i"))
+    rows = lambda df: sorted((r["component_id"], round(r["score"], 6), r["match_type"]) for r in df.collect())
+    for query in ("parse_buffer", "bufer", "write", "searching", "hot", "größe", "qqq", "x", ""):
+        assert rows(S.fuzzy_search(index, query)) == rows(S.fuzzy_search(postings, query)), query
+    assert rows(S.fuzzy_search(stores.load_search_index(spark, str(tmp_path / "none")), "parse")) == []
+    plan = S.fuzzy_search(index, "parse")
+    assert {r["component_id"] for r in plan.collect()} >= {"c0", "c2"}
+
+
 def test_scan_of_odd_roots(spark, tmp_path):
     root = tmp_path / "a+(b).c"
     root.mkdir()
