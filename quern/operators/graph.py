@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.skew import skew_join
+from quern.operators.skew import lookup_join
 from quern.session import cut
 
 
@@ -22,18 +22,18 @@ def islands(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = cut(pairs)
-    before = None
+    before, n = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = skew_join(both.where("b > a"), least, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = lookup_join(both.where("b > a"), least, "a", "inner", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = skew_join(large, least, "a", "inner")
+        small = lookup_join(large, least, "a", "inner", 2 * n)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_island"))
     return nodes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("_island", "id").alias("island"))

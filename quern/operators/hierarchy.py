@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.cleaning import lower_trimmed, topic_path
-from quern.operators.skew import global_index, skew_join
+from quern.operators.skew import BROADCAST_ROWS, global_index, lookup_join, skew_join
 from quern.session import cut
 
 SCHEMA = (
@@ -59,14 +59,14 @@ def membership_counts(membership: DataFrame) -> DataFrame:
     return pairs.groupBy("path").agg(F.sum("n").alias("links"), F.count("component").alias("members"))
 
 
-def _double(state: DataFrame) -> DataFrame:
-    """One round: pointers reach twice as far, sums take in the depth they now cover."""
+def _double(state: DataFrame, n: int) -> DataFrame:
+    """One round over n nodes: pointers reach twice as far, sums take in the depth they now cover."""
     reach = state.select(
         F.col("path").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("top").alias("top2")
     )
     sums = state.where("up IS NOT NULL").groupBy(F.col("up").alias("path"))
     sums = sums.agg(*(F.sum(c).alias(f"_{c}") for c in ("size", "links", "members")))
-    jumped = skew_join(state, reach, "up").select(
+    jumped = lookup_join(state, reach, "up", "left", n).select(
         "path",
         F.col("up2").alias("up"),
         (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"),
@@ -76,7 +76,7 @@ def _double(state: DataFrame) -> DataFrame:
         "members",
     )
     added = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("size", "links", "members")]
-    return jumped.join(sums, "path", "left").select("path", "up", "dist", "top", *added)
+    return lookup_join(jumped, sums, "path", "left", n).select("path", "up", "dist", "top", *added)
 
 
 def separate(nodes: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,36 +95,37 @@ def separate(nodes: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]
         F.coalesce("members", F.lit(0)).alias("members"),
     )
     state = cut(state)
-    open_before, still_open = -1, state.where("up IS NOT NULL").count()
+    n, still_open = state.agg(F.count(F.lit(1)), F.count("up")).first()
+    open_before = -1
     # No node has a depth between two reaches: then none is deeper, and what is open never ends.
     while still_open and still_open != open_before:
-        state = cut(_double(state))
+        state = cut(_double(state, n))
         open_before, still_open = still_open, state.where("up IS NOT NULL").count()
     forest = state.where("up IS NULL").select("path", F.col("dist").alias("depth"), F.col("top").alias("root"), "size", "links", "members")
     endless = state.where("up IS NOT NULL").select("path", "up")
     if not still_open:
         return forest, endless.select("path", F.lit("cycle").alias("status"))
     endless = cut(endless)
-    ring = _rings(endless).withColumn("ring", F.lit(True))
+    ring = _rings(endless, still_open).withColumn("ring", F.lit(True))
     status = F.when(F.col("ring"), "cycle").otherwise("leads_to_cycle").alias("status")
     return forest, endless.select("path").join(ring, "path", "left").select("path", status)
 
 
-def _further(pointers: DataFrame) -> DataFrame:
-    """Pointers (path, up) that reach twice as far; those that would leave the table are gone."""
+def _further(pointers: DataFrame, n: int) -> DataFrame:
+    """Of n pointers (path, up) those that reach twice as far; those that would leave the table are gone."""
     reach = pointers.select(F.col("path").alias("up"), F.col("up").alias("up2"))
-    return skew_join(pointers, reach, "up", "inner").select("path", F.col("up2").alias("up"))
+    return lookup_join(pointers, reach, "up", "inner", n).select("path", F.col("up2").alias("up"))
 
 
-def _rings(endless: DataFrame) -> DataFrame:
-    """(path) of the nodes on cycles, from pointers none of which ever ends.
+def _rings(endless: DataFrame, n: int) -> DataFrame:
+    """(path) of the nodes on cycles, from n pointers none of which ever ends.
 
     What pointers hit shrinks as they reach further, until only the cycles are
     left: where it stays the same they map it onto itself.
     """
     hit_before, hit = -1, endless.select("up").distinct().count()
     while hit and hit != hit_before:
-        endless = cut(_further(endless))
+        endless = cut(_further(endless, n))
         hit_before, hit = hit, endless.select("up").distinct().count()
     return endless.select(F.col("up").alias("path")).distinct()
 
@@ -140,14 +141,14 @@ def cycle_nodes(nodes: DataFrame) -> DataFrame:
     open_before, still_open = -1, pointers.count()
     # Where no pointer ended, none has a depth between two reaches, and so none a greater one.
     while still_open and still_open != open_before:
-        pointers = cut(_further(pointers))
+        pointers = cut(_further(pointers, still_open))
         open_before, still_open = still_open, pointers.count()
-    return _rings(pointers)
+    return _rings(pointers, still_open)
 
 
-def _chains(tree: DataFrame, heavy: DataFrame) -> DataFrame:
-    """(path, head, pos): the chain each node lies on and its place there."""
-    state = tree.join(heavy.select(F.col("heavy").alias("path"), F.lit(True).alias("inner")), "path", "left").select(
+def _chains(tree: DataFrame, heavy: DataFrame, n: int) -> DataFrame:
+    """(path, head, pos): the chain each of n nodes lies on and its place there."""
+    state = lookup_join(tree, heavy.select(F.col("heavy").alias("path"), F.lit(True).alias("inner")), "path", "left", n).select(
         "path",
         F.when(F.col("inner"), F.col("parent")).alias("up"),
         F.when(F.col("inner"), F.col("parent")).otherwise(F.col("path")).alias("head"),
@@ -158,7 +159,7 @@ def _chains(tree: DataFrame, heavy: DataFrame) -> DataFrame:
         # Every chain pointer leads to another node, so this join has no hot key.
         reach = state.select(F.col("path").alias("up"), F.col("up").alias("up2"), F.col("head").alias("head2"), F.col("pos").alias("pos2"))
         state = cut(
-            state.join(reach, "up", "left").select(
+            (state.join(F.broadcast(reach), "up", "left") if n <= BROADCAST_ROWS else state.join(reach, "up", "left")).select(
                 "path",
                 F.col("up2").alias("up"),
                 F.coalesce("head2", "head").alias("head"),
@@ -186,11 +187,12 @@ def hierarchy(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     nodes = cut(nodes.select("path", "parent", "is_entry"))
     forest, endless = separate(nodes, counts)
     tree = cut(forest.join(nodes, "path"))
+    n = tree.count()  # bounds what is looked up below
 
     children = tree.where("parent IS NOT NULL")
     best = children.groupBy("parent").agg(F.max(F.struct("size", "path")).alias("best"))
     heavy = cut(best.select("parent", F.col("best.path").alias("heavy"), F.col("best.size").alias("heavy_size")))
-    placed = cut(_chains(tree, heavy).join(tree, "path"))
+    placed = cut(lookup_join(_chains(tree, heavy, n), tree, "path", "inner", n))
 
     # Order among the chains that hang on one node: a running sum over all of
     # them, less the sum at the first of that node, so that a node with very
@@ -204,11 +206,11 @@ def hierarchy(nodes: DataFrame, counts: DataFrame) -> DataFrame:
         .otherwise(F.col("before") - F.col("first") + F.coalesce("heavy_size", F.lit(0)) + 1)
         .alias("offset")
     )
-    offsets = skew_join(summed, at_parent, "parent").select(F.col("path").alias("head"), "parent", offset)
+    offsets = lookup_join(summed, at_parent, "parent", "left", n).select(F.col("path").alias("head"), "parent", offset)
 
     members = placed.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("nodes"))
     hooks = placed.select(F.col("path").alias("parent"), F.col("head").alias("on_head"), F.col("pos").alias("on_pos"))
-    chains = skew_join(offsets, hooks, "parent").join(members, "head")
+    chains = lookup_join(offsets, hooks, "parent", "left", n).join(members, "head")
     chains = cut(chains.select("head", "on_head", "on_pos", "offset", F.col("nodes.path").alias("nodes")))
 
     # Roots come first among all heads (null parents sort first), so their
@@ -222,6 +224,7 @@ def hierarchy(nodes: DataFrame, counts: DataFrame) -> DataFrame:
             F.col("head").alias("on_head"), F.col("nodes").alias("on_nodes"), F.col("base").alias("on_base"), F.col("prefix").alias("on_prefix")
         )
         level = cut(
+            # These rows carry whole chains: they are never broadcast.
             skew_join(waiting, hung, "on_head", "inner").select(
                 "head",
                 "nodes",

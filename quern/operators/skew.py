@@ -92,7 +92,7 @@ def global_index(df: DataFrame, order: list[str], value: Column | None = None, i
 
 
 #: A table of at most so many narrow rows may be sent to every executor.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -105,6 +105,19 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:
+    """skew_join, but by broadcast where right is known to be small.
+
+    rows: a bound on right's rows the caller has counted; without one right is
+    written and counted. Up to BROADCAST_ROWS of them go to every executor, so
+    that left, hot keys and all, stays where it is.
+    """
+    if rows is None:
+        right = cut(right)
+        rows = right.count()
+    return left.join(F.broadcast(right), key, how) if rows <= BROADCAST_ROWS else skew_join(left, right, key, how)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores.
 
