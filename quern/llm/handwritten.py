@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.skew import skew_join, spread
+from quern.operators.skew import lookup_join, spread
 from quern.session import cut
 from quern.sources.ignore import ignored
 
@@ -415,11 +415,11 @@ def not_handwritten(files: DataFrame, patterns: list[str], own_names: tuple[str,
         (F.min("top") != F.max("top")).alias("in_many"),
     )
     bodies = bodies.where("with_banner = 1 OR in_many")
-    rows = skew_join(skew_join(facts, libraries, "prefix"), bodies, "body")
+    rows = lookup_join(lookup_join(facts, libraries, "prefix"), bodies, "body")
     carries = (F.col("prefix_count") >= 2) & (F.col("prefix_share") >= 0.4)
     # A name that only ever leads files found in several top folders is a library's.
     copied = rows.where(carries).groupBy("prefix").agg(F.min(F.coalesce("in_many", F.lit(False))).alias("only_copies"))
-    rows = skew_join(rows, copied.where("only_copies"), "prefix")
+    rows = lookup_join(rows, copied.where("only_copies"), "prefix")
 
     path = F.col("path")
     third = F.greatest(
