@@ -32,6 +32,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _newest(rows, "path", F.col("indexed_at"), ["language", "content"])
 
 
+def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, file_hash): the hash stored with the row indexed last of each path."""
+    rows = table(spark, sf_dir, "source_files").where("path IS NOT NULL")
+    return _newest(rows, "path", F.col("indexed_at"), ["language", "content", "file_hash"]).select("path", F.lower(F.trim("file_hash")).alias("file_hash"))
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The note updated last of each hash_id, tags and links of all its rows united."""
     rows = table(spark, sf_dir, "annotations").withColumn("hash_id", lower_trimmed("hash_id")).where("hash_id IS NOT NULL")

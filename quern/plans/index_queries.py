@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,15 @@ from quern.operators import edges as E
 from quern.operators import extraction as X
 from quern.operators import graph as G
 from quern.operators import links as L
+from quern.operators import lists as W
 from quern.operators import liveness as V
 from quern.operators import search as S
 from quern.operators import sync as Y
 from quern.operators.snapshots import latest_rows
 from quern.plans import bindings as B
 from quern.session import cut, table
-from quern.sources.ignore import ignored, pattern_regex
+from quern.sources import stores
+from quern.sources.ignore import ignored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -41,17 +45,20 @@ def query(sql: str | None = None):
 # --- sources ---------------------------------------------------------------------------
 
 
-def _ignored_sql(patterns: list[str]) -> str:
-    rules = [r for r in map(pattern_regex, patterns) if r]
-    cases = " ".join(f"WHEN regexp_matches(path, '{rx}') THEN {str(not no).lower()}" for rx, no in reversed(rules))
-    return f"CASE {cases} ELSE false END"
-
-
-#: The patterns the test tables hold, for the SQL alone.
-_PATTERNS = ["node_modules/", "target/", "dist/", "*.min.js", "third_party/", "!third_party/adapters/", "legacy/", "*_pb2.py", "/tmp/", "build/out/", "**/*.bak", "vendor/**"]
+#: The patterns the test tables hold, written out as SQL; the last one that matches decides.
+_PARTS = "string_split(path, '/')"
+_IGNORED_SQL = f"""CASE WHEN starts_with(path, 'vendor/') THEN true
+  WHEN len([p FOR p IN {_PARTS} IF ends_with(p, '.bak')]) > 0 THEN true
+  WHEN starts_with(path, 'build/out/') OR starts_with(path, 'tmp/') THEN true
+  WHEN len([p FOR p IN {_PARTS} IF ends_with(p, '_pb2.py')]) > 0 THEN true
+  WHEN list_contains({_PARTS}[:-2], 'legacy') THEN true
+  WHEN starts_with(path, 'third_party/adapters/') THEN false
+  WHEN list_contains({_PARTS}[:-2], 'third_party') THEN true
+  WHEN len([p FOR p IN {_PARTS} IF ends_with(p, '.min.js')]) > 0 THEN true
+  ELSE list_has_any({_PARTS}[:-2], ['node_modules', 'target', 'dist']) END"""
 
 
-@query(f"WITH {B.FILES} SELECT path FROM files WHERE {_ignored_sql(_PATTERNS)}")
+@query(f"WITH {B.FILES} SELECT path FROM files WHERE {_IGNORED_SQL}")
 def ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.files(spark, sf_dir).where(ignored(F.col("path"), B.patterns(spark, sf_dir))).select("path")
 
@@ -609,7 +616,7 @@ def sync_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STATUS = f"""asked AS (SELECT path FROM current UNION SELECT path FROM indexed UNION SELECT path FROM files),
 judged AS (SELECT a.path, c.path IS NOT NULL AS here, i.path IS NOT NULL AS known, i.file_hash IS NOT DISTINCT FROM c.file_hash AS same,
-    {_ignored_sql(_PATTERNS)} AS ign, {_EXT} IN ('rs','js','jsx','ts','tsx','py','go','zig','swift','c','h','cpp','cc','cxx','hpp','hh','hxx') AS known_type
+    {_IGNORED_SQL} AS ign, {_EXT} IN ('rs','js','jsx','ts','tsx','py','go','zig','swift','c','h','cpp','cc','cxx','hpp','hh','hxx') AS known_type
   FROM (SELECT DISTINCT path FROM asked) a LEFT JOIN current c USING (path) LEFT JOIN indexed i USING (path)),
 reasons AS (SELECT path, here, CASE WHEN NOT here AND NOT known THEN 'path does not exist' WHEN here AND ign THEN 'ignored'
     WHEN here AND NOT known_type THEN 'unsupported file extension' WHEN here AND known AND same THEN 'file hash unchanged' END AS reason FROM judged)"""
@@ -641,7 +648,7 @@ def status_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_SNAP}, {B.FILES}, dirty AS (SELECT DISTINCT path FROM (SELECT path FROM current UNION ALL SELECT path FROM indexed)),
-    judged AS (SELECT d.path, i.path IS NOT NULL AS known, c.path IS NOT NULL AS here, {_ignored_sql(_PATTERNS)} AS ign,
+    judged AS (SELECT d.path, i.path IS NOT NULL AS known, c.path IS NOT NULL AS here, {_IGNORED_SQL} AS ign,
       {_EXT} IN ('rs','js','jsx','ts','tsx','py','go','zig','swift','c','h','cpp','cc','cxx','hpp','hh','hxx') AS known_type
       FROM dirty d LEFT JOIN (SELECT DISTINCT path FROM indexed) i USING (path) LEFT JOIN (SELECT DISTINCT path FROM current) c USING (path))
     SELECT path FROM judged WHERE (here AND known_type AND NOT ign) OR (known AND NOT here)"""
@@ -914,3 +921,129 @@ def project_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     languages = B.components(spark, sf_dir).groupBy(top("file")).agg(F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
     projects = table(spark, sf_dir, "source_files").select(top("path")).distinct()
     return projects.join(languages, "project", "left").select("project", F.coalesce("languages", F.lit("")).alias("languages"))
+
+
+# --- lists, orders and output ----------------------------------------------------------------
+
+
+@query(f"WITH {B.COMPS} SELECT id, name, file FROM comps WHERE id = (SELECT min(id) FROM comps)")
+def component_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    components = B.components(spark, sf_dir)
+    least = components.agg(F.min("id").alias("id")).first()["id"]  # one id
+    return W.component(components, least).select("id", "name", "file")
+
+
+@query(
+    f"""WITH {B.COMPS}, r AS (SELECT *, death_status <> 'alive' AS dead, errors + warnings + notes > 0 AS faulty FROM comps WHERE language = 'rust')
+    SELECT 'languages' AS mode, language AS item, NULL::BIGINT AS n FROM (SELECT DISTINCT language FROM comps)
+    UNION ALL SELECT 'language_summary', "type", count(*) FROM r GROUP BY "type" UNION ALL SELECT 'language_all', id, NULL FROM r
+    UNION ALL SELECT 'language_and_type', id, NULL FROM r WHERE "type" = 'struct' UNION ALL SELECT 'dead', id, NULL FROM r WHERE dead
+    UNION ALL SELECT 'dead_or_faulty', id, NULL FROM r WHERE dead OR faulty"""
+)
+def list_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form of a list."""
+    components = B.components(spark, sf_dir)
+    asked = {
+        "languages": {}, "language_summary": {"language": "rs"}, "language_all": {"language": "rs", "everything": True}, "language_and_type": {"language": "rs", "kind": "Struct"},
+        "dead": {"language": "rs", "dead": True}, "dead_or_faulty": {"language": "rs", "dead": True, "fault": True},
+    }
+    parts = []
+    for name, options in asked.items():
+        mode, rows = W.listing(components, **options)
+        item = {"languages": "language", "language_summary": "type"}.get(mode, "id")
+        n = F.col("n") if mode == "language_summary" else F.lit(None).cast("long")
+        parts.append(rows.select(F.lit(name).alias("mode"), F.col(item).alias("item"), n.alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    f"""WITH {_ASCII_POST}, {_STEMS}, {_FUZZY}, {_LINK_BASE}, {B.FILES}, pool AS (SELECT * FROM comps WHERE language = 'python'),
+    plain AS (SELECT id, 2.0::DOUBLE AS score, 0 AS match_rank FROM pool WHERE {_hit_sql('parse_buffer')}),
+    found AS (SELECT * FROM plain UNION ALL SELECT p.id, round(h.score, 6), r.rank FROM pool p JOIN hits h ON h.component_id = p.id JOIN ranks r ON r.kind = h.match_type
+      WHERE p.id NOT IN (SELECT id FROM plain)),
+    linked AS (SELECT * FROM comps WHERE id IN (SELECT component_id FROM merged WHERE {_AUTH.format(q='pradar_00000')}))
+    SELECT 'index' AS list, id, row_number() OVER (ORDER BY language, file, start_line, "type", name, id) - 1 AS position FROM comps
+    UNION ALL SELECT 'list', id, row_number() OVER (ORDER BY file, start_line, "type", name, id) - 1 FROM comps
+    UNION ALL SELECT 'hits', id, row_number() OVER (ORDER BY match_rank, score DESC, language, file, start_line, "type", name, id) - 1 FROM found JOIN comps USING (id)
+    UNION ALL SELECT 'links', id, row_number() OVER (ORDER BY file, start_line, name, id) - 1 FROM linked
+    UNION ALL SELECT 'notes', hash_id, row_number() OVER (ORDER BY component_type NULLS FIRST, component_name NULLS FIRST, hash_id) - 1 FROM anns"""
+)
+def output_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each row stands in the lists that are shown: the index, a full list, merged hits, components of a link path, notes."""
+    components = B.components(spark, sf_dir)
+    found = S.merged_search(components, B.postings(spark, sf_dir), _QUERY, language="py").withColumn("score", F.round("score", 6))
+    linked = L.show(_merged(spark, sf_dir), components, "pradar_00000")
+    parts = [
+        ("index", W.positions(components, W.HIT_ORDER)),
+        ("list", W.positions(components, W.LIST_ORDER)),
+        ("hits", W.positions(found, W.MERGED_ORDER)),
+        ("links", W.positions(linked, W.LINK_ORDER)),
+        ("notes", W.positions(B.annotations(spark, sf_dir).withColumn("id", F.col("hash_id")), W.NOTE_ORDER)),
+    ]
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(name).alias("list"), "id", "position") for name, rows in parts))
+
+
+@query(
+    f"""WITH {B.COMPS}, {B.FILES}, {B.LINES}, {B.DIAGS}, {_LOCATED},
+    hashes AS (SELECT path, lower(trim(file_hash)) AS h FROM source_files WHERE path IS NOT NULL {B._sql_newest('path', 'indexed_at', ['language', 'content', 'file_hash'])}),
+    said AS (SELECT file, line, string_agg(severity || ' ' || message, '|' ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, severity, message) AS said FROM (SELECT DISTINCT * FROM diagnostics) GROUP BY 1, 2),
+    l AS (SELECT path, unnest(x) AS code, generate_subscripts(x, 1) AS line FROM (
+      SELECT path, string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) AS x FROM files WHERE content <> ''))
+    SELECT c.id, l.line::INTEGER AS line, l.code, coalesce(s.said, '') AS said, f.content IS NULL OR h.h IS DISTINCT FROM sha256(f.content) AS file_changed
+    FROM comps c JOIN l ON l.path = c.file AND l.line BETWEEN c.start_line AND c.end_line JOIN files f ON f.path = c.file
+    LEFT JOIN said s ON s.file = regexp_extract(c.file, '^[^/]+/(.*)$', 1) AND s.line = l.line LEFT JOIN hashes h ON h.path = c.file"""
+)
+def shown_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component's source by line with the messages on it, and whether its file is another than the indexed one."""
+    said = D.parse_lines(B.report_lines(spark, sf_dir)).distinct()
+    rows = W.shown(B.components(spark, sf_dir), B.files(spark, sf_dir), said, B.file_hashes(spark, sf_dir), F.regexp_extract("path", "^[^/]+/(.*)$", 1))
+    texts = F.transform("diagnostics", lambda d: F.concat_ws(" ", d["severity"], d["message"]))
+    return rows.select("id", "line", "code", F.array_join(texts, "|").alias("said"), "file_changed")
+
+
+@query(
+    f"""WITH {B.COMPS} SELECT '{{"id":"' || id || '","start_line":' || start_line || ',"death_status":"' || death_status || '"}}' AS value FROM comps WHERE death_status IS NOT NULL"""
+)
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.components(spark, sf_dir).where("death_status IS NOT NULL").select("id", "start_line", "death_status")
+    return stores.as_json(rows)
+
+
+@query(
+    f"""WITH {B.STORE} SELECT component_id, path, (row_number() OVER (PARTITION BY component_id ORDER BY pos NULLS FIRST, path) - 1)::INTEGER AS pos FROM store"""
+)
+def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The link store written as JSON and read back; places are counted anew."""
+    lines = stores.link_lines(B.store(spark, sf_dir), "2026-01-01T00:00:00Z")
+    back = lines.select(F.from_json("value", "component_id string, paths array<string>").alias("x"))
+    return back.select("x.component_id", F.posexplode("x.paths").alias("pos", "path"))
+
+
+@query(
+    f"""WITH {B.FILES}, t AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM files), w AS (SELECT path, regexp_extract(line, '^[ \\t]*') AS lead FROM t)
+    SELECT path, max(len(lead) + 3 * (len(lead) - len(replace(lead, chr(9), ''))))::INTEGER AS deepest FROM w GROUP BY path"""
+)
+def deepest_indents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = B.files(spark, sf_dir).select("path", F.explode(F.split("content", "\n", -1)).alias("line"))
+    return lines.groupBy("path").agg(F.max(T.indent_width("line")).alias("deepest"))
+
+
+@query(
+    f"""WITH {B.COMPS}, s AS (SELECT id, start_line / 4.0 AS s, end_line - start_line + 1 AS n FROM comps)
+    SELECT id, CASE WHEN s >= 60 THEN floor(s / 60)::BIGINT || 'm ' || printf('%.2f', s - 60 * floor(s / 60)) || 's' ELSE printf('%.2fs', s) END AS took,
+    n || ' line' || CASE WHEN n = 1 THEN '' ELSE 's' END AS lines FROM s"""
+)
+def readable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.components(spark, sf_dir)
+    return rows.select("id", T.duration(F.col("start_line") / 4.0).alias("took"), T.plural(F.col("end_line") - F.col("start_line") + 1, "line").alias("lines"))
+
+
+@query(
+    f"""WITH RECURSIVE {B.COMPS}, {B.EDGES}, {_ISLANDS}, m AS (SELECT island, count(*) AS size, min((language, file, start_line, "type", name)) AS first FROM islands JOIN comps USING (id) GROUP BY 1)
+    SELECT island FROM m ORDER BY size DESC, first DESC LIMIT 1"""
+)
+def largest_island(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where reachability starts if nothing seeds it."""
+    components = B.components(spark, sf_dir)
+    island = G.islands(components.select("id"), E.adjacency(B.edges(spark, sf_dir), components))
+    return V.main_islands(components.join(island, "id").withColumn("seed", F.lit(False)))
