@@ -125,6 +125,11 @@ class Span:
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    return _folded(text) if len(text) <= 40 else _folded.__wrapped__(text)
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _folded(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = text.replace("ß", "ss").replace("ø", "o").replace("Ø", "O").replace("ł", "l").replace("Ł", "L").replace("đ", "d").replace("ı", "i").replace("æ", "ae")
@@ -444,11 +449,6 @@ _LOWER_FIRST = re.compile(r"(?<![\w./@`'-])([^\W\d_]{2,}(?:-[^\W\d_]{2,})*), ([^
 
 
 _FAMILY_BEFORE = re.compile(r"(?<![\w./@`'-])[^\W\d_]{2,}(?:-[^\W\d_]{2,})*$")
-#: Accented letters as plain ones, one for one, so that places stay the same.
-_FLAT = {c: ord(x[0]) for c in range(0xC0, 0x180) if (x := unicodedata.normalize("NFKD", chr(c))) and len(x) > 1 and unicodedata.combining(x[1])}
-_FLAT |= {ord(a): ord(b) for a, b in zip("øØłŁđı", "oOlLdi", strict=True)}
-
-
 @functools.lru_cache(maxsize=4)
 def _given_automaton(given: frozenset[str]):
     """Given names as they begin a name written small, and as they end one after a comma."""
@@ -469,7 +469,7 @@ def _lower_names(text: str, given: frozenset[str], mailboxes: frozenset[str]):
     if automaton is None:
         return
     found = set()
-    for last, length in automaton.iter(text if text.isascii() else text.translate(_FLAT)):
+    for last, length in automaton.iter(text):
         if length:
             m, first = _LOWER_PAIR.match(text, last + 1 - length), 1
         else:
@@ -602,7 +602,9 @@ def _names_of(given_names: DataFrame) -> frozenset[str]:
     from quern.llm.pii_training import GIVEN
 
     listed = (r["name"] for r in given_names.select("name").distinct().collect())
-    return frozenset(fold(n) for n in (*listed, *GIVEN) if n)
+    names = {n for n in (*listed, *GIVEN) if n}
+    # As they are written, for names in small letters, and without accents.
+    return frozenset({fold(n) for n in names} | {n.lower() for n in names})
 
 
 def find(documents: DataFrame, given_names: DataFrame) -> DataFrame:
