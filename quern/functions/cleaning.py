@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space at either end, tabs and the Unicode spaces included.
-_EDGES = r"(?U)^\s+|\s+$"
-_SLASHES = r"^[/\s]+|[/\s]+$"
+_WHITE_EDGE, _EDGES = r"(?U)^\s|\s$", r"(?U)^\s+|\s+$"
+_SLASH_EDGE, _SLASHES = r"^[/\s]|[/\s]$", r"^[/\s]+|[/\s]+$"
 
 
 def as_col(c: Column | str) -> Column:
@@ -16,7 +16,9 @@ def as_col(c: Column | str) -> Column:
 
 def trimmed(c: Column | str) -> Column:
     """White space of any kind removed at both ends."""
-    return F.regexp_replace(as_col(c), _EDGES, "")
+    # Blanks go first and cheaply; few values have anything else at their ends.
+    text = F.trim(as_col(c))
+    return F.when(F.rlike(text, F.lit(_WHITE_EDGE)), F.regexp_replace(text, _EDGES, "")).otherwise(text)
 
 
 def lower_trimmed(c: Column | str) -> Column:
@@ -27,13 +29,15 @@ def lower_trimmed(c: Column | str) -> Column:
 
 def topic_path(c: Column | str) -> Column:
     """A topic path: trimmed, freed of slashes at the ends, lower case; null where blank."""
-    t = F.lower(F.regexp_replace(as_col(c), _SLASHES, ""))
+    text = as_col(c)
+    t = F.lower(F.when(F.rlike(text, F.lit(_SLASH_EDGE)), F.regexp_replace(text, _SLASHES, "")).otherwise(text))
     return F.when(t != "", t)
 
 
 def file_path(c: Column | str) -> Column:
     """A file path with forward slashes and without a leading './'; case counts."""
-    return F.regexp_replace(F.replace(as_col(c), F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    path = F.replace(as_col(c), F.lit("\\"), F.lit("/"))
+    return F.when(F.startswith(path, F.lit("./")), F.regexp_replace(path, r"^(\./)+", "")).otherwise(path)
 
 
 def instant(c: Column | str) -> Column:
