@@ -208,8 +208,8 @@ def test_postings_hold_tags_and_links(spark):
 
 def test_whole_token_index_by_component(spark, tmp_path):
     tables = {
-        "components": ([("fn-a", "rust", "fn", "run", "src/a.rs", 1, 2, None, None, None, None), ("fn-b", "rust", "fn", "stop", "src/a.rs", 3, 4, None, None, None, None)],
-            "id string, language string, type string, name string, file string, start_line int, end_line int, death_status string, display_path string, removed_at timestamp, faults struct<errors:int,warnings:int,notes:int>"),
+        "components": ([("fn-a", "rust", "fn", "run", "src/a.rs", 1, 2, None, None, None, None, None), ("fn-b", "rust", "fn", "stop", "src/a.rs", 3, 4, None, None, None, None, None)],
+            "id string, language string, type string, name string, file string, start_line int, end_line int, death_status string, display_path string, removed_at timestamp, faults struct<errors:int,warnings:int,notes:int>, first_seen_at timestamp"),
         "annotations": ([("fn-old", "fn", "run", "src/a.rs", None, "quick", ["Keep"], ["net/http", "bad//link"], None, None), ("fn-gone", "fn", "none", "x", None, "lost", ["lost"], ["lost"], None, None)],
             "hash_id string, component_type string, component_name string, file string, language string, content string, tags array<string>, links array<string>, created_at timestamp, updated_at timestamp"),
         "link_membership": ([("fn-b", "Disk/io", 0), ("fn-gone", "lost", 0)], "component_id string, path string, pos int"),
