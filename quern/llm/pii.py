@@ -535,20 +535,41 @@ def decode(spans: list[Span], weights: dict[str, float]) -> list[Span]:
     return out[::-1]
 
 
-def _marginals(spans: list[Span], scores: np.ndarray) -> np.ndarray:
-    """Probability of each span over all segmentations, by forward and backward sums."""
+def _lattice(spans: list[Span]) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
+    """For every place where a span begins or ends, in order: (span, where it begins) of those that end there, (span, where it ends) of those that begin."""
     points = sorted({0, *(s.start for s in spans), *(s.end for s in spans)})
     place = {p: i for i, p in enumerate(points)}
-    by_end, by_start = defaultdict(list), defaultdict(list)
+    by_end: list = [[] for _ in points]
+    by_start: list = [[] for _ in points]
     for k, s in enumerate(spans):
-        by_end[place[s.end]].append(k)
-        by_start[place[s.start]].append(k)
-    forward, backward = np.zeros(len(points)), np.zeros(len(points))
-    for i in range(1, len(points)):
-        forward[i] = np.logaddexp.reduce([forward[i - 1], *(forward[place[spans[k].start]] + scores[k] for k in by_end[i])])
-    for i in range(len(points) - 2, -1, -1):
-        backward[i] = np.logaddexp.reduce([backward[i + 1], *(backward[place[spans[k].end]] + scores[k] for k in by_start[i])])
-    return np.array([math.exp(forward[place[s.start]] + x + backward[place[s.end]] - forward[-1]) for s, x in zip(spans, scores, strict=True)])
+        by_end[place[s.end]].append((k, place[s.start]))
+        by_start[place[s.start]].append((k, place[s.end]))
+    return by_end, by_start
+
+
+def _log_sum(items: list[float]) -> float:
+    most = max(items)
+    return most + math.log(sum([math.exp(x - most) for x in items]))
+
+
+def _on_lattice(lattice, scores: list[float]) -> np.ndarray:
+    """Probability of each span over all segmentations, by forward and backward sums."""
+    by_end, by_start = lattice
+    n = len(by_end)
+    forward, backward = [0.0] * n, [0.0] * n
+    for i in range(1, n):
+        forward[i] = _log_sum([forward[i - 1], *[forward[j] + scores[k] for k, j in by_end[i]]]) if by_end[i] else forward[i - 1]
+    for i in range(n - 2, -1, -1):
+        backward[i] = _log_sum([backward[i + 1], *[backward[j] + scores[k] for k, j in by_start[i]]]) if by_start[i] else backward[i + 1]
+    out = np.empty(len(scores))
+    for i, spans in enumerate(by_end):
+        for k, j in spans:
+            out[k] = math.exp(forward[j] + scores[k] + backward[i] - forward[-1])
+    return out
+
+
+def _marginals(spans: list[Span], scores: np.ndarray) -> np.ndarray:
+    return _on_lattice(_lattice(spans), list(scores))
 
 
 def fit(examples: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[str], rounds: int = 6, rate: float = 0.3, decay: float = 2e-5) -> dict[str, float]:
@@ -557,26 +578,30 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset
     AdaGrad over the examples in their order; deterministic. Labelled spans
     that no generator proposes are left out.
     """
-    weights: dict[str, float] = defaultdict(float)
-    squares: dict[str, float] = defaultdict(float)
+    known: dict[str, int] = {}
     data = []
     for text, labels in examples:
         spans = candidates(text, given)
+        if not spans:
+            continue
         gold = {(a, b, k) for a, b, k in labels}
-        data.append((spans, np.array([(s.start, s.end, s.kind) in gold for s in spans], dtype=float)))
+        ids = np.array([known.setdefault(f, len(known)) for s in spans for f in s.features])
+        sizes = np.array([len(s.features) for s in spans])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        data.append((ids, sizes, starts, _lattice(spans), np.array([(s.start, s.end, s.kind) in gold for s in spans], dtype=float)))
+    weights, squares = np.zeros(len(known)), np.zeros(len(known))
     for _ in range(rounds):
-        for spans, gold in data:
-            if not spans:
+        for ids, sizes, starts, lattice, gold in data:
+            own = weights[ids]
+            error = gold - _on_lattice(lattice, np.add.reduceat(own, starts).tolist())
+            wrong = np.abs(error) >= 1e-4
+            if not wrong.any():
                 continue
-            scores = np.array([sum(weights[f] for f in s.features) for s in spans])
-            for span, error in zip(spans, gold - _marginals(spans, scores), strict=True):
-                if abs(error) < 1e-4:
-                    continue
-                for f in span.features:
-                    g = error - decay * weights[f]
-                    squares[f] += g * g
-                    weights[f] += rate * g / math.sqrt(squares[f])
-    return {f: w for f, w in weights.items() if abs(w) > 1e-3}
+            step = np.repeat(np.where(wrong, error, 0.0), sizes)
+            step = np.where(step != 0, step - decay * own, 0.0)
+            np.add.at(squares, ids, step * step)
+            np.add.at(weights, ids, rate * step / np.sqrt(np.maximum(squares[ids], 1e-300)))
+    return {f: float(weights[i]) for f, i in known.items() if abs(weights[i]) > 1e-3}
 
 
 @functools.lru_cache(maxsize=2)
