@@ -130,10 +130,15 @@ def token_table(postings: DataFrame) -> DataFrame:
     return tokens.select("token", stem("token").alias("stem"), trigrams("token").alias("grams"))
 
 
+def _related_words(query: str) -> list[str]:
+    """Words of the alias groups a word is in."""
+    groups = [root for root, word in alias_groups() if word == query]
+    return sorted({word for root, word in alias_groups() if root in groups})
+
+
 def _sibling(query: str, same_stem: Column) -> tuple[Column, Column]:
     """Whether a token is a sibling of the query token, and its score if it is."""
-    groups = [root for root, word in alias_groups() if word == query]
-    words = sorted({word for root, word in alias_groups() if root in groups})
+    words = _related_words(query)
     token, q = F.col("token"), F.lit(query)
     related = token.isin(words) if words else F.lit(False)
     base = F.when(related, ALIAS).otherwise(STEM)
@@ -187,9 +192,13 @@ def fuzzy_search(postings: DataFrame | SearchIndex, query: str) -> DataFrame:
     asked = spark.range(1).select(name_tokens(F.lit(query)).alias("t")).first()["t"]
     if not asked:
         return postings.select("component_id", F.lit(0.0).alias("score"), F.lit("").alias("match_type")).limit(0)
-    stems = spark.range(1).select(*(stem(F.lit(w)).alias(str(i)) for i, w in enumerate(asked))).first()
-    grams = sorted({g for i in range(len(asked)) for g in spark.range(1).select(trigrams(F.lit(asked[i])).alias("g")).first()["g"]})
-    related = reduce(lambda a, b: a | b, (_sibling(w, F.col("stem") == stems[str(i)])[0] for i, w in enumerate(asked)))
+    # The query's few words; every expression is built once, however many there are.
+    facts = {r["w"]: r for r in spark.range(1).select(F.explode(F.array(*map(F.lit, asked))).alias("w")).select("w", stem("w").alias("stem"), trigrams("w").alias("grams")).collect()}
+    stems = {i: facts[w]["stem"] for i, w in enumerate(asked)}
+    grams = sorted({g for r in facts.values() for g in r["grams"]})
+    words = sorted({w for q in asked for w in _related_words(q)})
+    # More than the siblings of each word, so that every column is looked at once.
+    related = F.col("stem").isin(list(stems.values())) | F.col("token").isin(words)
     if index is None:
         every = token_table(postings)
         pool = every.where(F.arrays_overlap("grams", F.array(*map(F.lit, grams)).cast("array<string>")) | related)
@@ -209,7 +218,7 @@ def fuzzy_search(postings: DataFrame | SearchIndex, query: str) -> DataFrame:
         q = F.lit(word)
         near = shares[word] if known[str(i)] else F.lit(True)
         name = name_match(token, q)
-        related, score = _sibling(word, F.col("stem") == stems[str(i)])
+        related, score = _sibling(word, F.col("stem") == stems[i])
         item = lambda s, k, o, q=q: F.struct(q.alias("asked"), s.cast("double").alias("score"), k.alias("kind"), o.alias("origins"))
         found += [
             F.when(near & name.isNotNull(), item(name["score"], name["kind"], F.array(F.lit("name")))),
