@@ -219,6 +219,49 @@ def test_rare_pairs_of_a_component_with_a_third_of_the_postings(spark):
     assert got == {("big", "x", 2), ("big", "y", 2), ("x", "y", 2)}
 
 
+def test_rare_pairs_without_scores(spark):
+    r = random.Random(8)
+    # Some rare tokens fill many rows and are spread, the others are shuffled by token.
+    rows = [(f"hot{i}", f"c{(i + k) % 9}", "name") for i in range(6) for k in (0, 4) for _ in range(50)]
+    rows += [(f"t{r.randrange(300)}", f"c{r.randrange(9)}", r.choice(["name", "annotation"])) for _ in range(700)]
+    rows += [(" T7 ", "c1", "name"), (" ", "c1", "name"), (None, "c1", "name"), (" ", "c2", "name"), ("t7", None, "name")]
+    held = collections.defaultdict(set)
+    for t, c, _ in rows:
+        if t and t.strip() and c:
+            held[t.strip().lower()].add(c)
+    shared = collections.Counter((a, b) for group in held.values() if len(group) <= 3 for a in group for b in group if a < b)
+    want = {(*pair, n) for pair, n in shared.items() if n >= 2}
+    assert want
+    pairs = terms.rare_pairs(terms.token_frequencies(postings(spark, rows)))
+    assert pairs.columns == ["component_a", "component_b", "shared"]
+    assert {tuple(p) for p in pairs.collect()} == want
+    scored = terms.rare_pairs(terms.distinctive_terms(postings(spark, rows)))
+    assert {tuple(p)[:3] for p in scored.collect()} == want
+    assert terms.rare_pairs(terms.token_frequencies(postings(spark, []))).count() == 0
+
+
+@pytest.mark.parametrize("name, scored", [("p3_found", False), ("p3_pairs", True), ("p3_scores", True)])
+def test_scores_only_where_they_come_out(spark, data, name, scored):
+    # The model runs in Python; the cases don't depend on it.
+    assert ("ArrowEvalPython" in queries.QUERIES[name](spark, data)._jdf.queryExecution().toString()) == scored
+
+
+def test_scores_of_pairs(spark, data):
+    held = collections.defaultdict(dict)
+    for x in queries.p3_scores(spark, data).where("df BETWEEN 2 AND 3").collect():
+        held[x["token"]][x["component_id"]] = x["score"]
+    want = collections.defaultdict(list)
+    for group in held.values():
+        for a in group:
+            for b in group:
+                if a < b:
+                    want[a, b].append(math.sqrt(group[a] * group[b]))
+    got = {(p["component_a"], p["component_b"]): (p["shared"], p["score"]) for p in queries.p3_pairs(spark, data).collect()}
+    assert got.keys() == {tuple(p) for p in queries.p3_found(spark, data).collect()} == {p for p, x in want.items() if len(x) >= 2}
+    for pair, (n, score) in got.items():
+        assert n == len(want[pair]) and math.isclose(score, sum(want[pair]), abs_tol=1e-6)
+
+
 # --- 1: files nobody wrote ---------------------------------------------------------------
 
 
